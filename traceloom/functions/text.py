@@ -130,5 +130,5 @@ def keyed_numbers(text, cap: int = CAP) -> Column:
     passed over as a scanner would; names without a number or after a dot are then left out."""
     t = _col(text)
     got = [F.regexp_extract_all(t, F.lit(_KEYED), F.lit(i)) for i in (1, 2, 3)]
-    rows = F.filter(F.arrays_zip(got[0].alias("dot"), got[1].alias("key"), got[2].alias("value")), lambda x: (x["0"] == "") & (x["2"] != ""))
-    return F.slice(F.transform(rows, lambda x: F.struct(x["1"].alias("key"), x["2"].alias("value"))), 1, cap)
+    rows = F.filter(F.arrays_zip(got[0].alias("dot"), got[1].alias("key"), got[2].alias("value")), lambda x: (x["dot"] == "") & (x["value"] != ""))
+    return F.slice(F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), 1, cap)
