@@ -15,7 +15,7 @@ import struct
 import numpy as np
 
 END_ID = 1
-CACHE = 400_000
+CACHE = 200_000
 
 _SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
