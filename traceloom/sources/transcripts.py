@@ -56,7 +56,7 @@ def turns(env: DataFrame) -> DataFrame:
     split = u["cache_creation"].isNotNull()
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     usage = F.when(u.isNotNull(), F.struct(n(u["input_tokens"]).alias("input_tokens"), n(u["output_tokens"]).alias("output_tokens"), n(u["cache_read_input_tokens"]).alias("cache_read_tokens"),
-        F.when(split, n(u["cache_creation.ephemeral_5m_input_tokens"])).otherwise(n(u["cache_creation_input_tokens"])).alias("cache_write_5m_tokens"), F.when(split, n(u["cache_creation.ephemeral_1h_input_tokens"])).otherwise(0).alias("cache_write_1h_tokens")))
+        F.when(split, n(u["cache_creation"]["ephemeral_5m_input_tokens"])).otherwise(n(u["cache_creation_input_tokens"])).alias("cache_write_5m_tokens"), F.when(split, n(u["cache_creation"]["ephemeral_1h_input_tokens"])).otherwise(0).alias("cache_write_1h_tokens")))
     rows = good.select("file", "line", F.coalesce("e.sessionId", stem).alias("trace_id"), F.coalesce("e.message.role", "kind").alias("role"), F.col("e.timestamp").alias("timestamp"), F.col("e.message.model").alias("model"), F.coalesce("e.isSidechain", F.lit(False)).alias("sidechain"), "content", F.col("e.requestId").alias("request_id"), usage.alias("usage"))
     again = F.row_number().over(Window.partitionBy("file", "request_id", F.col("usage").isNotNull()).orderBy("line")) > 1
     rows = rows.withColumn("billing", F.when(F.col("request_id").isNull() | ~again, F.col("usage")))

@@ -39,8 +39,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy(w, "tenant").agg(F.count("*").alias("events"), F.sum(saved()).alias("saved")).select("tenant", F.col("session_window.start").alias("start"), "events", "saved")
 
 
-def freeze(blocks: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
-    """blocks (id, wire): id, wire and first_seen. The first decision on an id is given again, byte by byte, to all that follow."""
+def freeze(blocks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """blocks (id, wire): id, wire and first_seen. The first decision on an id is given again, byte by byte, to all that follow.
+
+    With ttl_ms an id's state goes that long after its last row. Such a stream runs until it is stopped, also
+    with the availableNow trigger, as Spark keeps looking for states that time out."""
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,10 +55,11 @@ def freeze(blocks: DataFrame, ttl_ms: int = 24 * 3_600_000) -> DataFrame:
             wire = state.get[0] if known else rows["wire"].iloc[0]
             if not known:
                 state.update((wire,))
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
             yield pd.DataFrame({"id": rows["id"], "wire": wire, "first_seen": [not known and i == 0 for i in range(len(rows))]})
 
-    return blocks.groupBy("id").applyInPandasWithState(decide, "id string, wire string, first_seen boolean", "wire string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return blocks.groupBy("id").applyInPandasWithState(decide, "id string, wire string, first_seen boolean", "wire string", "append", timeout)
 
 
 def freeze_batch(blocks: DataFrame) -> DataFrame:
