@@ -10,12 +10,14 @@ thousand cases, and even then some chunk agrees but for one symbol: all of them
 1. classes:  documents with equal shingle sets are one class; its least doc_id stands for it.
 2. keys:     of each class; those that one class alone has are dropped.
 3. stars:    in each key's bucket every class is compared with one centre, the class that shares keys most.
-4. rest:     buckets whose classes are still in several components compare the remaining pairs across
-             components in bounded square blocks by signature, within LIMIT.
+4. rest:     in buckets whose classes are still in several components, pairs across components are left. Those
+             of small buckets are listed; those of large ones have to share a rare shingle too: of either
+             set, ordered by rarity, one of the first (1 - 0.8) * size + 1, with enough of both sets after it,
+             or they cannot be similar enough. Both are compared by signature, within LIMIT.
 5. confirm:  candidates are compared on full shingle sets; confirmed ones are edges for the components.
 
-A group of copies is confirmed against its centre and settled in step 3, so its pairs are not listed; no
-bucket is capped, as step 4 has all pairs that step 3 left open.
+A group of copies is confirmed against its centre and settled in step 3, so its pairs are not listed. No
+bucket is capped: step 4 has all pairs that step 3 left open and that can be links.
 
 Null and empty texts and texts without words have no shingles, and are linked with nothing. Rows that repeat
 a doc_id count as linked. A null doc_id is linked with nothing and is its own row. An empty table gives none.
@@ -27,7 +29,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.llm import common
@@ -36,7 +38,6 @@ from traceloom.llm.components import components
 SHINGLE, PERCENT = 4, 80
 CHUNKS, WIDTH = 10, 5
 LIMIT = 24  # differing symbols of a candidate; above the 2 * CHUNKS - 1 for which meeting is certain
-SQUARE = 1000  # classes on a side of a block in step 4
 SMALL = 12  # buckets of up to so many classes are joined with themselves
 
 _U = np.uint64
@@ -192,38 +193,43 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(over, "a long, b long")
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 4: pairs (a, b) of classes that share a key, are in different components and near by signature."""
+def _rare_prefixes(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """token, cls, component, size, place: of each class the shingles that come first by (number of open classes with it,
+    hash), as many as two similar sets must share one of; without those that no other class has."""
+
+    def over(batches):
+        for b in batches:
+            for c, k, t in zip(*b.columns):
+                h = shingle_sets([_utf8(t.as_py())])[0]
+                n = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, c.as_py())), pa.array(np.full(n, k.as_py())), pa.array(np.full(n, n, np.int32))], ["token", "cls", "component", "size"])
+
+    rows = open_classes.join(texts.select(F.col("doc_id").alias("cls"), "text"), "cls").select("cls", "component", "text")
+    tokens = common.written(rows.mapInArrow(over, "token long, cls long, component long, size int"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("cls", "size")
+    kept = tokens.join(shared, "token").withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("size") - F.count("*").over(own))
+    most = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
+    return kept.where(F.col("place") <= most).select("token", "cls", "component", "size", "place")
+
+
+def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Step 4: candidates (a, b) of buckets whose classes are in different components."""
     comp = comps.select(F.col("node").alias("cls"), "component")
     # with two classes in a bucket, the star was all there is
     rows = members.where("n > 2").select("key", "cls", "n", "centre").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = common.written(rows.join(mixed, "key").where("cls <> centre"), "open")
-    few = rows.where(f"n <= {SMALL}").select("key", "cls", "component")
+    rows = common.written(rows.join(mixed, "key"), "open")
+    few = rows.where(f"n <= {SMALL} and cls <> centre").select("key", "cls", "component")
     other = few.select("key", F.col("cls").alias("b"), F.col("component").alias("cb"))
-    small = near(few.join(other, "key").where("cls < b and component <> cb").select(F.col("cls").alias("a"), "b").distinct(), classes)
-
-    sides = F.ceil(F.col("n") / SQUARE).cast("int")
-    large = rows.where(f"n > {SMALL}").withColumn("side", F.pmod(F.xxhash64("cls", "key"), sides).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
-    large = large.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "cls", "component")
-    large = large.join(classes.select("cls", "sig"), "cls")
-
-    def square(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        side, cls, comp = (t.column(c).to_numpy() for c in ("side", "cls", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(cls), -1)
-        x, y = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        out_a, out_b = [], []
-        for s in range(0, len(x), 64):
-            part = x[s : s + 64]
-            p, q = np.nonzero(((sig[part][:, None, :] != sig[y][None, :, :]).sum(2) <= LIMIT) & (comp[part][:, None] != comp[y][None, :]))
-            out_a.append(cls[part][p])
-            out_b.append(cls[y][q])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    return small.unionByName(large.groupBy("key", "i", "j").applyInArrow(square, "a long, b long")).distinct()
+    small = few.join(other, "key").where("cls < b and component <> cb").select(F.col("cls").alias("a"), "b")
+
+    prefixes = common.written(_rare_prefixes(rows.where(f"n > {SMALL}").select("cls", "component").distinct(), texts), "prefixes")
+    other = prefixes.select("token", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
+    # from the first shared shingle on, no more than what is left of either set can be shared
+    fits = f"cls < b and component <> cb and 100 * least(size, sb) >= {PERCENT} * greatest(size, sb) and (100 + {PERCENT}) * (1 + least(size - place, sb - pb)) >= {PERCENT} * (size + sb)"
+    large = prefixes.join(other, "token").where(fits).select(F.col("cls").alias("a"), "b")
+    return near(small.unionByName(large).distinct(), classes)
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -249,7 +255,7 @@ def link(docs: DataFrame) -> DataFrame:
     texts = common.written(source.join(named, "doc_id", "left_semi"), "texts")
     edges = common.written(confirm(stars, texts), "edges")
     comps = components(edges)
-    extra = common.written(_open_pairs(members, comps, classes), "pairs")
+    extra = common.written(_open_pairs(members, comps, classes, texts), "pairs")
     if extra.take(1):
         more = confirm(extra, texts)
         comps = components(edges.unionByName(more))
