@@ -15,6 +15,7 @@ from traceloom.functions import codecs, previews
 from traceloom.functions import jsontext as js
 from traceloom.functions import text as tx
 from traceloom.operators import relevance
+from traceloom.shipping import ship
 
 MARKER = "offload"
 REOPEN_PRIOR = 0.45
@@ -97,6 +98,7 @@ def _detector_clean(raw, wire):
 
 def candidates(blocks: DataFrame, config: Config = Config()) -> DataFrame:
     """A row for each distinct raw: its probe, and content id, certificate and size."""
+    ship(blocks.sparkSession)
     one = blocks.where(F.col("raw").isNotNull()).select("raw").distinct()
     rows = one.withColumn("p", probe(F.col("raw"), config)).select("raw", "p.*")
     return rows.withColumn("certificate", F.sha2(F.col("canonical").cast("binary"), 256)).withColumn("id", content_id(F.col("canonical"))).withColumn("units", F.octet_length("raw"))

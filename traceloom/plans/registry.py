@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from traceloom.shipping import ship
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -11,7 +13,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(f):
         assert name not in QUERIES, name
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: (ship(spark), f(spark, sf_dir))[1]
         if sql:
             ORACLES[name] = sql
         return f
