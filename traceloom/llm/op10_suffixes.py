@@ -64,7 +64,8 @@ def _minima(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if width > k:
         m = np.minimum(m[: len(m) - (width - k)], m[width - k :])
     at = (m & POSITION).astype(np.int64)
-    return at, h[at]
+    key = h[at] * np.uint64(0x94D049BB133111EB)  # minima are small numbers; keys have to spread evenly
+    return at, key ^ (key >> np.uint64(31))
 
 
 class Block:
