@@ -35,7 +35,7 @@ from traceloom.llm import common
 LENGTH = 50
 GRAM = 16
 BLOCK_MB = 4
-SLICE = 1 << 18
+SLICE = 1 << 15
 POSITION = np.uint64((1 << 20) - 1)
 
 _TABLE = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -219,20 +219,26 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH) ->
     for i in range(8):
         value = value << np.uint64(8) | padded[i : i + n + depth]
 
-    def ranks(v):
-        order = np.argsort(v, kind="stable")
-        s = v[order]
-        out = np.empty(len(v), np.uint64)
-        out[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]])
+    def ranked(order, ordered):
+        out = np.empty(len(order), np.uint64)
+        out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
         return out
 
+    def pairs(first, second):
+        if len(first) < 1 << 21:  # both ranks and the position fit one number, which sorts faster than an index
+            s = np.sort(first << np.uint64(42) | second << np.uint64(21) | np.arange(len(first), dtype=np.uint64))
+            return ranked((s & np.uint64((1 << 21) - 1)).astype(np.int64), s >> np.uint64(21))
+        v = first << np.uint64(32) | second
+        order = np.argsort(v)
+        return ranked(order, v[order])
+
+    order = np.argsort(value)
+    r = ranked(order, value[order])
     k = 8
     while 2 * k <= depth:
-        r = ranks(value)
-        value = r << np.uint64(32) | np.concatenate([r[k:], np.zeros(k, np.uint64)])
+        r = pairs(r, np.concatenate([r[k:], np.zeros(k, np.uint64)]))
         k *= 2
-    r = ranks(value)
-    return ranks(r[starts] << np.uint64(32) | r[starts + depth - k])
+    return pairs(r[starts], r[starts + depth - k])
 
 
 def earlier_factor(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -335,8 +341,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
     blocks = common.written(pack(docs), "blocks")
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
-    # a bucket's share of the anchors is a few MB, and there are more buckets than tasks
-    bits = int(max(2 * common.shuffle_partitions(docs.sparkSession), raw // (16 << 20)) - 1).bit_length()
+    # a bucket's segments are about half a MB, and there are more buckets than tasks
+    bits = int(max(2 * common.shuffle_partitions(docs.sparkSession), raw // (1 << 20)) - 1).bit_length()
     shared = common.written(sieve(blocks, bits), "anchors")
     out = cut(blocks, shared, factors(blocks, shared, bits), bits)
     keyless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("kept"))
