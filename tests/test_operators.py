@@ -191,3 +191,29 @@ def test_frozen_decisions_in_a_stream_and_in_a_table(spark, tmp_path):
     want = [("a", "w0", False), ("a", "w0", False), ("a", "w0", True), ("b", "w2", True)]
     assert rows(spark.table("frozen")) == want
     assert rows(st.freeze_batch(b).select("id", "wire", "first_seen")) == want
+
+
+def test_audit_of_session_files(spark, tmp_path):
+    from traceloom.plans import audit
+
+    rec = lambda role, content, n, ts, **k: json.dumps({"type": role, "sessionId": "s", "timestamp": ts, "message": {"role": role, "model": "claude-haiku-4-5", "content": content, "usage": {"input_tokens": n, "output_tokens": 0}}} | k)
+    (tmp_path / "a.jsonl").write_text("\n".join([
+        rec("assistant", [{"type": "tool_use", "id": "t1", "name": "Read", "input": {}}], 1_000_000, "2025-01-02T00"),
+        json.dumps({"type": "user", "sessionId": "s", "timestamp": "2025-01-03T00", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1", "content": "see /a/b.c and 4242"}]}}),
+        rec("assistant", "now /a/b.c", 0, "2025-01-01T00"),
+    ]))
+    caps = tmp_path / "caps"
+    caps.mkdir()
+    (caps / "c.json").write_text(json.dumps({"captured_at_ms": 1, "tool_results": [{"tool_use_id": "t1", "content": "4242"}]}))
+    a = audit.audit(spark, str(tmp_path), str(caps))
+    assert (a["files"], a["files_failed"], a["traces"], a["turns"], a["segments_paired"]) == (1, 0, 1, 3, 1)
+    assert (a["period_start"], a["period_end"], a["ledger"]["actual_usd"]) == ("2025-01-01T00", "2025-01-03T00", 1.0)
+    assert (a["retention"]["numerics_kept"], a["retention"]["artifacts_kept"], a["findings_total"], a["findings"][0]["class"]) == (1, 0, 1, "artifact-loss")
+    assert "usage             $1.00" in audit.to_text(a) and "| artifacts kept | 0/1 (0% kept) |" in audit.to_markdown(a) and "<td>1</td>" in audit.to_html(a) and json.loads(audit.to_json(a))["turns"] == 3
+
+
+def test_affix_never_overlaps(spark):
+    from traceloom.operators import proof
+
+    df = spark.createDataFrame([("a", "abab"), ("a", "ab"), ("b", "xay"), ("b", "xby"), ("c", ""), ("c", "q")], "k string, t string")
+    assert {r["k"]: (r["prefix"], r["suffix"]) for r in proof.affix(df, ["k"], "t").collect()} == {"a": ("ab", ""), "b": ("x", "y"), "c": ("", "")}

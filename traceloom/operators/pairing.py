@@ -10,7 +10,8 @@ def pair(segments: DataFrame, captures: DataFrame) -> DataFrame:
     """Tool results whose on-wire text (tool_use_id, content) differs: what was read becomes the original."""
     wire = captures.select(F.col("tool_use_id").alias("__id"), F.col("content").alias("__wire"))
     rows = segments.join(wire, segments["tool_use_id"] == wire["__id"], "left")
-    swap = F.col("__wire").isNotNull() & F.col("original").isNull() & (F.col("__wire") != F.col("effective"))
+    result = F.col("kind") == "tool-result" if "kind" in segments.columns else F.lit(True)
+    swap = result & F.col("__wire").isNotNull() & F.col("original").isNull() & (F.col("__wire") != F.col("effective"))
     return rows.withColumns({"original": F.when(swap, F.col("effective")).otherwise(F.col("original")), "effective": F.when(swap, F.col("__wire")).otherwise(F.col("effective"))}).drop("__id", "__wire")
 
 

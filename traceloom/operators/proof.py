@@ -50,3 +50,43 @@ def tokens(text):
 
 def approx_tokens(text):
     return F.ceil(F.octet_length(text) / BYTES_PER_TOKEN)
+
+
+def reconcile(zone, creation, read):
+    """cache_bust where a frozen prefix was written again rather than read; else held."""
+    return F.when((zone == "frozen") & (creation > read) & (creation > 0), "cache_bust").otherwise("held")
+
+
+def affix(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, prefix and suffix that all of a group's texts share, in characters; they never overlap in the shortest.
+
+    Least and greatest text share what all share, from the front; from the back the same holds of reversed texts."""
+    c, back = F.col(text), F.reverse(F.col(text))
+    ends = rows.groupBy(*keys).agg(F.min(c).alias("a"), F.max(c).alias("z"), F.min(back).alias("ra"), F.max(back).alias("rz"), F.min(F.length(c)).alias("n"))
+
+    def common(a, z):
+        both = F.sequence(F.lit(1), F.greatest(F.least(F.length(a), F.length(z)), F.lit(1)))
+        return F.size(F.filter(both, lambda i: F.substring(a, F.lit(1), i) == F.substring(z, F.lit(1), i)))
+
+    size = ends.withColumn("p", F.when(F.col("n") > 0, common(F.col("a"), F.col("z"))).otherwise(0))
+    size = size.withColumn("s", F.when(F.col("n") > 0, F.least(common(F.col("ra"), F.col("rz")), F.col("n") - F.col("p"))).otherwise(0))
+    return size.select(*keys, F.substring(F.col("a"), F.lit(1), F.col("p")).alias("prefix"), F.reverse(F.substring(F.col("ra"), F.lit(1), F.col("s"))).alias("suffix"))
+
+
+def split_covers(shown: DataFrame, stored: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: whether the rows in view and those stored are together exactly the original's."""
+    return same_rows(shown.unionAll(stored), whole)
+
+
+def tree_equal(pairs: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and equal, of leaves (keys, path, original, rewritten, id): every path on both sides, and each text that
+    differs resolves, by the id of the marker it carries, to the original."""
+    rows = pairs.join(store.select("id", F.col("raw").alias("__raw")), "id", "left")
+    ok = F.col("original").eqNullSafe(F.col("rewritten")) | (F.col("original").isNotNull() & F.col("rewritten").isNotNull() & F.col("__raw").eqNullSafe(F.col("original")))
+    return rows.groupBy(*keys).agg(F.bool_and(ok).alias("equal"))
+
+
+def context_savings(decisions: DataFrame) -> DataFrame:
+    """One row of summed tokens, four bytes each: baseline, treatment and what is saved."""
+    t = lambda c: F.coalesce(F.sum(F.floor(F.octet_length(c) / BYTES_PER_TOKEN)), F.lit(0))
+    return decisions.agg(t("baseline").alias("baseline"), t("treatment").alias("treatment")).withColumn("saved", F.greatest(F.col("baseline") - F.col("treatment"), F.lit(0)))

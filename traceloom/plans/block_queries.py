@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import codecs, commands, previews, redact
 from traceloom.functions import jsontext as js
+from traceloom.functions import text as tx
 from traceloom.operators import optimize, proof
 from traceloom.plans import adapters as ad
 from traceloom.plans.registry import query
@@ -199,3 +200,35 @@ def _(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "events", "saved")
 
 
+
+
+@query("p_reconcile", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND n % 7 > n % 5 THEN 'cache_bust' ELSE 'held' END AS verdict FROM (SELECT o_orderkey, o_orderstatus, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)")
+def _(spark, d):
+    n = F.floor("o_totalprice").cast("long")
+    return ad.table(spark, d, "orders").select("o_orderkey", proof.reconcile(F.when(F.col("o_orderstatus") == "F", "frozen").otherwise("suffix"), n % 7, n % 5).alias("verdict"))
+
+
+@query("f_affix", "SELECT event_type, 'x-' || event_type || '-' AS prefix, '-' || event_type || '.end' AS suffix FROM (SELECT DISTINCT event_type FROM events)")
+def _(spark, d):
+    e = ad.table(spark, d, "events").select("event_type", F.concat(F.lit("x-"), "event_type", F.lit("-"), F.col("event_id") * 7919 % 10007, F.lit("-"), "event_type", F.lit(".end")).alias("t"))
+    return proof.affix(e, ["event_type"], "t")
+
+
+@query("j_split_covers", "SELECT true AS same")
+def _(spark, d):
+    e = ad.table(spark, d, "events").select("event_id", "props")
+    return proof.split_covers(e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0"), e)
+
+
+@query("s_tree_eq", "SELECT page_id, page_id % 5 <> 0 AS equal FROM pages")
+def _(spark, d):
+    p = ad.table(spark, d, "pages")
+    bad = F.when(F.col("page_id") % 5 == 0, "lost").otherwise(F.concat(F.lit("<<offload:"), optimize.content_id(F.col("html")), F.lit(">>")))
+    pairs = p.select("page_id", F.lit("html").alias("path"), F.col("html").alias("original"), bad.alias("rewritten")).withColumn("id", tx.marker_id("rewritten"))
+    store = p.select(optimize.content_id(F.col("html")).alias("id"), F.col("html").alias("raw")).dropDuplicates(["id"])
+    return proof.tree_equal(pairs, store, ["page_id"])
+
+
+@query("a_context_savings", "SELECT b AS baseline, t AS treatment, greatest(b - t, 0) AS saved FROM (SELECT CAST(sum(strlen(text) // 4) AS BIGINT) AS b, CAST(sum(strlen(left(text, 50)) // 4) AS BIGINT) AS t FROM documents)")
+def _(spark, d):
+    return proof.context_savings(ad.table(spark, d, "documents").select(F.col("text").alias("baseline"), F.substring("text", 1, 50).alias("treatment")))
