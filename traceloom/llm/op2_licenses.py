@@ -2,14 +2,14 @@
 
 The fit runs on the driver over a fixed set of license statements (TEMPLATES, and their wordings by
 `examples`) and at most BACKGROUND paragraphs of the corpus without any word of HINTS, those with the least
-hash. Features are word bigrams and trigrams that the statements have. A multinomial logistic regression gives
+hash. Features are word bigrams and trigrams of the statements with a word that the background lacks. A multinomial logistic regression gives
 a logit to each family and to `unknown`; a temperature fitted on held-out wordings calibrates it. A paragraph
 whose best family has a probability below CERTAIN is of class `unknown`.
 
 A prediction is confirmed if the paragraph has at least TEMPLATE_SHARE of the word bigrams of one of the
-family's statements. Scoring uses DataFrame functions alone: n-grams meet the weights (at most a few
-thousand rows, so they are broadcast), and only paragraphs with some feature are kept, as all others are
-`unknown` by the bias. A paragraph is a line. Nulls and empty texts have none; repeated rows give rows each.
+family's statements that are features. Scoring uses DataFrame functions alone: only documents, then paragraphs
+with a word of theirs that the background lacks can have a feature, and all others are `unknown` by the bias;
+their n-grams meet the weights (at most a few thousand rows, so they are broadcast). A paragraph is a line. Nulls and empty texts have none; repeated rows give rows each.
 """
 
 from __future__ import annotations
@@ -63,10 +63,12 @@ def examples() -> list[tuple[str, str]]:
 def train(background: list[str], rounds: int = 400) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Weights by feature, biases (the last is `unknown`), temperature."""
     rows = [(FAMILIES.index(f), grams(words(t))) for f, t in examples()]
-    vocabulary = sorted({g for _, x in rows for g in x})
+    common_words = {w for t in background for w in words(t)}
+    vocabulary = sorted({g for _, x in rows for g in x if not common_words.issuperset(g.split())})
+    rows = [(f, x & set(vocabulary)) for f, x in rows]
     rows += [(len(FAMILIES), grams(words(t)) & set(vocabulary)) for t in background]
     # statements that lack a family's own words are unknown too
-    rows += [(len(FAMILIES), grams(words(t))) for t in ("licensed under the", "released under the", "this work is licensed under", "all rights", "public domain", "free of charge", "general public", "the terms of the", "version") for _ in range(4)]
+    rows += [(len(FAMILIES), grams(words(t)) & set(vocabulary)) for t in ("licensed under the", "released under the", "this work is licensed under", "all rights", "public domain", "free of charge", "general public", "the terms of the", "version") for _ in range(4)]
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     place = {g: i for i, g in enumerate(vocabulary)}
     for i, (_, found) in enumerate(rows):
@@ -106,11 +108,14 @@ def scan(docs: DataFrame) -> DataFrame:
     classes = [*FAMILIES, UNKNOWN]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weight array<double>")
 
-    keyed = paragraphs(docs.withColumn("doc_row", F.monotonically_increasing_id()).select(F.struct("doc_row", "doc_id").alias("doc_id"), "text"))
+    common_words = {w for t in background for w in words(t)}
+    telling = F.array(*map(F.lit, sorted({w for g in weights for w in g.split()} - common_words)))
+    able = docs.where(F.arrays_overlap(F.split(F.lower("text"), "[^a-z]+"), telling))
+    keyed = paragraphs(able.withColumn("doc_row", F.monotonically_increasing_id()).select(F.struct("doc_row", "doc_id").alias("doc_id"), "text")).where(F.arrays_overlap("w", telling))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))
     triples = F.when(F.size("w") > 2, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).otherwise(F.array().cast("array<string>"))
     hits = keyed.select("doc_id", "paragraph", F.explode(F.array_distinct(F.concat(pairs, triples))).alias("gram")).join(F.broadcast(table), "gram")
-    shares = {f: [{g for g in grams(words(t.format(v=""))) if g.count(" ") == 1} for t in TEMPLATES[f]] for f in FAMILIES}
+    shares = {f: [{g for g in grams(words(t.format(v=""))) if g.count(" ") == 1 and g in weights} or {""} for t in TEMPLATES[f]] for f in FAMILIES}
     logits = hits.groupBy("doc_id", "paragraph").agg(
         *[F.sum(F.col("weight")[i]).alias(f"z{i}") for i in range(len(classes))],
         *[(F.sum(F.col("gram").isin(sorted(s)).cast("int")) / len(s)).alias(f"s{i}_{j}") for i, f in enumerate(FAMILIES) for j, s in enumerate(shares[f])],
