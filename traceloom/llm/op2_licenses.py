@@ -1,8 +1,8 @@
 """License scan of paragraphs: a sparse word n-gram logistic regression, confirmed by templates.
 
 The fit runs on the driver over a fixed set of license statements (TEMPLATES, and their wordings by
-`examples`) and at most BACKGROUND paragraphs of the corpus without any word of HINTS, those with the least
-hash. Features are word bigrams and trigrams of the statements with a word that the background lacks. A multinomial logistic regression gives
+`examples`) and at most BACKGROUND first paragraphs of documents without any word of HINTS, those with the least
+hash of key and text. Features are word bigrams and trigrams of the statements with a word that the background lacks. A multinomial logistic regression gives
 a logit to each family and to `unknown`; a temperature fitted on held-out wordings calibrates it. A paragraph
 whose best family has a probability below CERTAIN is of class `unknown`.
 
@@ -102,8 +102,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """Paragraphs that a family or no class surely wins: doc_id, paragraph, family, probability, template_share,
     confirmed. Those that `unknown` itself wins surely are ordinary text and not listed."""
     spark = docs.sparkSession
-    clean = docs.where(F.col("text").isNotNull() & ~F.lower("text").rlike(HINTS)).select(F.element_at(F.split("text", "\n"), 1).alias("t"))
-    background = [r[0] for r in clean.select(F.substring("t", 1, 2000).alias("t"), F.xxhash64("t").alias("h")).orderBy("h", "t").limit(BACKGROUND).collect()]
+    clean = docs.where(F.col("text").isNotNull() & ~F.lower("text").rlike(HINTS)).select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("t"))
+    # a share of the hash's range that is expected to hold a few times as many, so that tasks send few rows
+    cut = -(2.0**63) + 2.0**64 * min(1.0, 8 * BACKGROUND / max(1, docs.count()))
+    drawn = clean.select(F.substring("t", 1, 2000).alias("t"), F.xxhash64("doc_id", "t").alias("h")).where(F.col("h").cast("double") < cut)
+    background = [r[0] for r in drawn.orderBy("h", "t").limit(BACKGROUND).collect()]
     weights, bias, heat = train(background)
     classes = [*FAMILIES, UNKNOWN]
     table = spark.createDataFrame([(g, [float(v) for v in w]) for g, w in weights.items()], "gram string, weight array<double>")
