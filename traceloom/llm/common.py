@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Callable
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 
+from traceloom import shipping
+
 MB = 1 << 20
+ARROW_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,17 +57,22 @@ def parts_for(df: DataFrame, mb_each: int = 16) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_traceloom_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="traceloom-py-"), "traceloom_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(top):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("traceloom", os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    sc._traceloom_shipped = True
+    """Sends this package to the executors' Python workers, and has Arrow batches of texts stay at a few MB."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    shipping.ship(spark)
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker before an operator fills caches of its own: those of other operators, which ran
+    in the same process before, are cleared."""
+    others = [n for n in _held if n != name]
+    for n in others:
+        _held.pop(n)()
+    if others:
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+    _held[name] = clear

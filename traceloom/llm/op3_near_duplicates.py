@@ -113,7 +113,7 @@ def _utf8(t) -> bytes:
     return (t or "").encode("utf-8", "surrogatepass")
 
 
-def _slices(texts: list[bytes], most: int = 1 << 20):
+def _slices(texts: list[bytes], most: int = 1 << 18):
     a, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -128,6 +128,7 @@ def describe(docs: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def over(batches):
+        common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
             texts = [_utf8(t.as_py()) for t in b.column(1)]
             for a, z in _slices(texts):
@@ -141,6 +142,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 def keys_of(classes: DataFrame) -> DataFrame:
     def over(batches):
+        common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 part = b.slice(i, 2000)
@@ -157,6 +159,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sig = classes.select("cls", "sig")
 
     def over(batches):
+        common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(b.num_rows, -1) for i in (2, 3))
             ok = pa.array((x != y).sum(1) <= LIMIT)
@@ -170,6 +173,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the candidates (a, b) those similar enough by their full shingle sets."""
 
     def over(batches):
+        common.claim("near-duplicates", _powers.cache_clear)
         kept: dict = {}
 
         def of(text: str):
@@ -198,6 +202,7 @@ def _rare_prefixes(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
     hash), as many as two similar sets must share one of; without those that no other class has."""
 
     def over(batches):
+        common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
             for c, k, t in zip(*b.columns):
                 h = shingle_sets([_utf8(t.as_py())])[0]

@@ -122,6 +122,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def over(batches):
+        common.claim("decontamination", _built.clear)
         automata = [_automaton_of(b.value, window) for b in shared]
         for b in batches:
             n_words, n_hit, items, where = [], [], [], []

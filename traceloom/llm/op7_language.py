@@ -30,10 +30,17 @@ UNKNOWN = "und"
 _NON_LETTERS = re.compile(r"[\W\d_]+")
 _letters: dict[int, np.ndarray] = {}
 _grams: dict[int, int] = {}
-_rows = np.zeros((1024, DIM), np.float32)
+_rows = np.zeros((1024, DIM), np.int8)
 BITS = 21  # of a code point
 
 
+def _clear() -> None:
+    global _rows
+    _rows = np.zeros((1024, DIM), np.int8)
+    _grams.clear()
+    _letters.clear()
+
+
 def letter(code: int) -> np.ndarray:
     if code not in _letters:
         _letters[code] = np.ones(DIM, np.float32) if code == 32 else np.random.default_rng(code).choice(np.array([-1, 1], np.float32), DIM)
@@ -47,7 +54,7 @@ def _gram_rows(keys: np.ndarray) -> np.ndarray:
     for i, k in enumerate(keys.tolist()):
         r = _grams.get(k)
         if r is None:
-            if len(_grams) >= 60_000:  # 120 MB; texts with ever new trigrams start over
+            if len(_grams) >= 60_000:  # 30 MB; texts with ever new trigrams start over
                 _grams.clear()
                 return _gram_rows(keys)
             r = _grams[k] = len(_grams)
@@ -68,9 +75,9 @@ def vector(text: str | None) -> np.ndarray | None:
     keys = codes[:-2] << 2 * BITS | codes[1:-1] << BITS | codes[2:]
     keys, n = np.unique(keys, return_counts=True)
     v = np.zeros(DIM, np.float32)
-    for at in range(0, len(keys), 20_000):
-        rows = _gram_rows(keys[at : at + 20_000])
-        v += n[at : at + 20_000].astype(np.float32) @ _rows[rows]
+    for at in range(0, len(keys), 2000):
+        rows = _gram_rows(keys[at : at + 2000])
+        v += n[at : at + 2000].astype(np.float32) @ _rows[rows].astype(np.float32)
     norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
     return v / norm if norm else v
 
@@ -89,6 +96,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         cut |= (F.col("label") == name) & (F.col("h").cast("double") < -(2.0**63) + 2.0**64 * min(1.0, fit_rows / n))
 
     def bundle(batches):
+        common.claim("language", _clear)
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for t, name in zip(b.column(0), b.column(1)):
@@ -116,6 +124,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def over(batches):
+        common.claim("language", _clear)
         for b in batches:
             lang, score = [], []
             for t in b.column(b.num_columns - 1):

@@ -14,6 +14,8 @@ import struct
 
 import numpy as np
 
+from traceloom.llm import common
+
 END_ID = 1
 CACHE = 200_000
 
@@ -86,6 +88,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One for each path and Python worker."""
+    common.claim("tokens", _encoders.clear)
     if path not in _encoders:
         import os
 
