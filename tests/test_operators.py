@@ -217,3 +217,16 @@ def test_affix_never_overlaps(spark):
 
     df = spark.createDataFrame([("a", "abab"), ("a", "ab"), ("b", "xay"), ("b", "xby"), ("c", ""), ("c", "q")], "k string, t string")
     assert {r["k"]: (r["prefix"], r["suffix"]) for r in proof.affix(df, ["k"], "t").collect()} == {"a": ("ab", ""), "b": ("x", "y"), "c": ("", "")}
+
+
+def test_codecs_take_the_blocks_of_all_users(spark, tmp_path):
+    from traceloom.plans import catalog
+
+    events = [(i, u, "view", float(i), '{"k":1}') for i, u in enumerate([5, 5, 199, 200, 1400, 1400])]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("c_columnar", "c_doc", "c_nested", "c_norm", "c_shred"):
+        assert sorted(r["id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [5, 199, 200, 1400]
+    assert sum(r["count"] for r in catalog.QUERIES["v_preview"](spark, str(tmp_path)).collect()) == 4
+    assert sum(r["blocks"] for r in catalog.QUERIES["o_compress"](spark, str(tmp_path)).collect()) == 4

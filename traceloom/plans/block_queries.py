@@ -24,11 +24,13 @@ def _udf(f, type_="string"):
 
 def json_blocks(spark, d):
     """A user's events as a JSON array of records, in order."""
-    e = ad.table(spark, d, "events").where("user_id < 200")
+    e = ad.table(spark, d, "events")
     rec = F.struct("event_id", "event_type", "value", "props")
     return e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("raw"))
 
 
+#: The SQL of f_leaves, f_select and f_detect_key is bound to these users; the other queries take all.
+SQL_USERS = "user_id < 200"
 JSON_BLOCKS = """jb AS (SELECT user_id, event_id, event_type, props FROM events WHERE user_id < 200)"""
 
 
@@ -42,7 +44,7 @@ def _(spark, d):
 @query("f_leaves", f"WITH {JSON_BLOCKS} SELECT user_id, count(*) * 8 AS leaves FROM jb GROUP BY 1")
 def _(spark, d):
     n = _udf(lambda x: len(js.leaves(js.parse(x))), "long")
-    return json_blocks(spark, d).select("user_id", n("raw").alias("leaves"))
+    return json_blocks(spark, d).where(SQL_USERS).select("user_id", n("raw").alias("leaves"))
 
 
 @query("p_dup_keys", "SELECT event_id, event_id % 3 = 0 AS duplicate FROM events")
@@ -53,7 +55,7 @@ def _(spark, d):
 
 @query("f_select", "SELECT user_id, min_by(event_type, event_id) AS first_type FROM events WHERE user_id < 200 GROUP BY 1")
 def _(spark, d):
-    return json_blocks(spark, d).select("user_id", optimize.selected("raw", F.lit("[0]/event_type")).alias("first_type"))
+    return json_blocks(spark, d).where(SQL_USERS).select("user_id", optimize.selected("raw", F.lit("[0]/event_type")).alias("first_type"))
 
 
 @query("f_flatten", """SELECT event_id, '{"a.b":' || event_id || ',"c":"' || event_type || '"}' AS flat FROM events""")
@@ -64,7 +66,7 @@ def _(spark, d):
 
 @query("f_detect_key", "SELECT DISTINCT user_id, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 1 THEN 'event_id' END AS key FROM events WHERE user_id < 200")
 def _(spark, d):
-    return json_blocks(spark, d).select("user_id", _udf(lambda x: js.unique_field(js.parse(x)))("raw").alias("key"))
+    return json_blocks(spark, d).where(SQL_USERS).select("user_id", _udf(lambda x: js.unique_field(js.parse(x)))("raw").alias("key"))
 
 
 @query("a_clmh")
