@@ -386,3 +386,22 @@ def test_pipeline_stages(spark, tmp_path):
         sizes.append(d.count())
     assert sizes[1] == sizes[0] - 3  # without a letter: null, empty, blanks
     assert sizes[2] == sizes[1] and sizes[3] < sizes[2] and sizes[4] < sizes[3]
+
+
+def test_near_dedup_stage_takes_five_words(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    r = random.Random(9)
+    base = [f"{word(r)}{i}" for i in range(100)]
+    edited = list(base)
+    edited[30] = edited[60] = "changed"
+    pair = [(1, " ".join(base)), (2, " ".join(edited))]  # 89 of 105 with four words, 86 of 106 with five
+    far = list(base)
+    far[30] = far[60] = "changed"
+    far[99] = "end"
+    far[0] = "start"
+    apart = [(1, " ".join(base)), (3, " ".join(far))]  # 87 of 107 with four words, 84 of 108 with five
+    d = lambda rows: docs(spark, rows).selectExpr("doc_id", "text", "'en' lang", "'src0' source", "length(text) n_chars")
+    assert op3_near_duplicates.link(docs(spark, apart)).where("not kept").count() == 1
+    assert sorted(x["doc_id"] for x in cp.near_dedup(spark, d(apart), str(tmp_path)).collect()) == [1, 3]
+    assert [x["doc_id"] for x in cp.near_dedup(spark, d(pair), str(tmp_path)).collect()] == [1]

@@ -122,7 +122,7 @@ def _slices(texts: list[bytes], most: int = 1 << 18):
             a, size = i + 1, 0
 
 
-def describe(docs: DataFrame) -> DataFrame:
+def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set1, set2 (together the set's identity), sig."""
     names = ["doc_id", "n_shingles", "set1", "set2", "sig"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -132,7 +132,7 @@ def describe(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [_utf8(t.as_py()) for t in b.column(1)]
             for a, z in _slices(texts):
-                sets = shingle_sets(texts[a:z])
+                sets = shingle_sets(texts[a:z], shingle)
                 mixed = [_mix(s ^ _U(_P)) for s in sets]
                 cols = [b.column(0)[a:z], [len(s) for s in sets], [int(m.sum().astype(np.int64)) if len(m) else 0 for m in mixed], [int(np.bitwise_xor.reduce(m).astype(np.int64)) if len(m) else 0 for m in mixed], [signature(s).tobytes() for s in sets]]
                 yield pa.RecordBatch.from_arrays([cols[0], *(pa.array(c, t) for c, t in zip(cols[1:], types[1:]))], names)
@@ -169,7 +169,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(over, "a long, b long")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Of the candidates (a, b) those similar enough by their full shingle sets."""
 
     def over(batches):
@@ -180,13 +180,13 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if text not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                kept[text] = shingle_sets([_utf8(text)])[0]
+                kept[text] = shingle_sets([_utf8(text)], shingle)[0]
             return kept[text]
 
         for b in batches:
             ok = []
             for s, t in zip(b.column(2), b.column(3)):
-                x, y = of(s.as_py()), shingle_sets([_utf8(t.as_py())])[0]
+                x, y = of(s.as_py()), shingle_sets([_utf8(t.as_py())], shingle)[0]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
             ok = pa.array(ok, pa.bool_())
@@ -197,7 +197,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(over, "a long, b long")
 
 
-def _rare_prefixes(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _rare_prefixes(open_classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """token, cls, component, size, place: of each class the shingles that come first by (number of open classes with it,
     hash), as many as two similar sets must share one of; without those that no other class has."""
 
@@ -205,7 +205,7 @@ def _rare_prefixes(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
         common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
             for c, k, t in zip(*b.columns):
-                h = shingle_sets([_utf8(t.as_py())])[0]
+                h = shingle_sets([_utf8(t.as_py())], shingle)[0]
                 n = len(h)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, c.as_py())), pa.array(np.full(n, k.as_py())), pa.array(np.full(n, n, np.int32))], ["token", "cls", "component", "size"])
 
@@ -218,7 +218,7 @@ def _rare_prefixes(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
     return kept.where(F.col("place") <= most).select("token", "cls", "component", "size", "place")
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """Step 4: candidates (a, b) of buckets whose classes are in different components."""
     comp = comps.select(F.col("node").alias("cls"), "component")
     # with two classes in a bucket, the star was all there is
@@ -229,7 +229,7 @@ def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts:
     other = few.select("key", F.col("cls").alias("b"), F.col("component").alias("cb"))
     small = few.join(other, "key").where("cls < b and component <> cb").select(F.col("cls").alias("a"), "b")
 
-    prefixes = common.written(_rare_prefixes(rows.where(f"n > {SMALL}").select("cls", "component").distinct(), texts), "prefixes")
+    prefixes = common.written(_rare_prefixes(rows.where(f"n > {SMALL}").select("cls", "component").distinct(), texts, shingle), "prefixes")
     other = prefixes.select("token", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
     # from the first shared shingle on, no more than what is left of either set can be shared
     fits = f"cls < b and component <> cb and 100 * least(size, sb) >= {PERCENT} * greatest(size, sb) and (100 + {PERCENT}) * (1 + least(size - place, sb - pb)) >= {PERCENT} * (size + sb)"
@@ -237,10 +237,10 @@ def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts:
     return near(small.unionByName(large).distinct(), classes)
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each of docs."""
+def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each of docs; shingle: words in one."""
     common.ship(docs.sparkSession)
-    told = common.written(describe(docs), "described")
+    told = common.written(describe(docs, shingle), "described")
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     identity = ["n_shingles", "set1", "set2"]
     classes = common.written(told.where(own).groupBy(*identity).agg(F.min(F.struct("doc_id", "sig")).alias("least")).select(*identity, F.col("least.doc_id").alias("cls"), F.col("least.sig").alias("sig")), "classes")
@@ -258,11 +258,11 @@ def link(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = members.where("n > 2").select(F.col("cls").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
     texts = common.written(source.join(named, "doc_id", "left_semi"), "texts")
-    edges = common.written(confirm(stars, texts), "edges")
+    edges = common.written(confirm(stars, texts, shingle), "edges")
     comps = components(edges)
-    extra = common.written(_open_pairs(members, comps, classes, texts), "pairs")
+    extra = common.written(_open_pairs(members, comps, classes, texts, shingle), "pairs")
     if extra.take(1):
-        more = confirm(extra, texts)
+        more = confirm(extra, texts, shingle)
         comps = components(edges.unionByName(more))
 
     by_class = classes.select(*identity, "cls").join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select(*identity, F.coalesce("component", "cls").alias("component"))
