@@ -405,3 +405,11 @@ def test_near_dedup_stage_takes_five_words(spark, tmp_path):
     assert op3_near_duplicates.link(docs(spark, apart)).where("not kept").count() == 1
     assert sorted(x["doc_id"] for x in cp.near_dedup(spark, d(apart), str(tmp_path)).collect()) == [1, 3]
     assert [x["doc_id"] for x in cp.near_dedup(spark, d(pair), str(tmp_path)).collect()] == [1]
+
+
+def test_the_end_of_a_clip_is_in_its_features():
+    one = bytes(range(128, 160)) * 26  # 832 bytes: 416 resampled samples, 32 of them beyond the last hop
+    two = one[:-24] + bytes(24)
+    (a, _, _), (b, _, _) = op9_audio.clip_features(one), op9_audio.clip_features(two)
+    assert (a != b).any()
+    assert len(op9_audio.log_mel(np.ones(416, np.float32))) == 3 and len(op9_audio.log_mel(np.ones(384, np.float32))) == 2

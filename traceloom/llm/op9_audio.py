@@ -2,7 +2,7 @@
 
 Stored form: a RIFF/WAVE file of unsigned 8-bit PCM, one byte a sample, so any payload is kept whole.
 Features, at the stored rate: a polyphase filter resamples by UP / DOWN; frames of FRAME samples, HOP
-apart, are windowed and transformed; MELS triangular filters give log energies. Frames are grouped in
+apart, the last one filled with zeros, are windowed and transformed; MELS triangular filters give log energies. Frames are grouped in
 tensors of fixed shape (TENSOR_FRAMES, MELS), the last one filled with the floor value, each with its
 time span. Segments: a frame louder than the clip's mean by HIGH opens one, one quieter than the mean
 by LOW closes it (hysteresis).
@@ -91,8 +91,8 @@ def _filters() -> np.ndarray:
 
 def log_mel(y: np.ndarray) -> np.ndarray:
     """(frames, MELS), rounded to a hundredth."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    whole = FRAME + -(-max(0, len(y) - FRAME) // HOP) * HOP
+    y = np.concatenate([y, np.zeros(whole - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     window, filters = np.hanning(FRAME).astype(np.float32), _filters()
