@@ -230,3 +230,13 @@ def test_codecs_take_the_blocks_of_all_users(spark, tmp_path):
         assert sorted(r["id"] for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == [5, 199, 200, 1400]
     assert sum(r["count"] for r in catalog.QUERIES["v_preview"](spark, str(tmp_path)).collect()) == 4
     assert sum(r["blocks"] for r in catalog.QUERIES["o_compress"](spark, str(tmp_path)).collect()) == 4
+
+
+def test_relevance_split_takes_long_and_null_texts_and_all_items(spark, tmp_path):
+    from traceloom.plans import catalog
+
+    texts = ["zebra crossing " * 400, None, *[f"plain words {i}" for i in range(8)]]
+    spark.createDataFrame([(i, t, "src3") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, "plain"), (63, "zebra crossing")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["block"], r["shown"]): r["count"] for r in catalog.QUERIES["o_relevance_split"](spark, str(tmp_path)).collect()}
+    assert got == {(3, True): 2, (3, False): 8, (63, True): 1, (63, False): 9}

@@ -11,6 +11,7 @@ from traceloom.functions import text as tx
 from traceloom.operators import optimize, proof
 from traceloom.plans import adapters as ad
 from traceloom.plans.registry import query
+from traceloom.plans.session_queries import retrieval
 from traceloom.streaming import events as st
 
 
@@ -130,9 +131,7 @@ def _(spark, d):
 
 @query("o_relevance_split")
 def _(spark, d):
-    e = ad.table(spark, d, "documents").where("length(text) < 2000").select(F.substring("source", 4, 9).cast("long").alias("block"), F.col("doc_id").alias("row"), "text")
-    q = ad.table(spark, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("block"), F.col("text").alias("query"))
-    return optimize.split_by_relevance(e, q).groupBy("block", "shown").count()
+    return optimize.split_by_relevance(*retrieval(spark, d)).groupBy("block", "shown").count()
 
 
 @query("p_command_class", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Bash:git log' WHEN 1 THEN 'Bash:python3 run.py' WHEN 2 THEN 'Bash:grep |' ELSE 'Read' END AS class FROM events")
