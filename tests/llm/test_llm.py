@@ -413,3 +413,10 @@ def test_the_end_of_a_clip_is_in_its_features():
     (a, _, _), (b, _, _) = op9_audio.clip_features(one), op9_audio.clip_features(two)
     assert (a != b).any()
     assert len(op9_audio.log_mel(np.ones(416, np.float32))) == 3 and len(op9_audio.log_mel(np.ones(384, np.float32))) == 2
+
+
+def test_licenses_bare_reservation_and_wrapped_statements(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    rows = [(1, "x y\nAll rights reserved.\nfoo bar"), (2, "foo bar\n" + bsd), (3, bsd.replace("without\n", "without\n\n")), (4, "Released under the MIT License.\nLicensed under CC BY-NC 4.0."), (5, "plain words about nothing in particular")]
+    got = sorted((r["doc_id"], r["paragraph"], r["family"]) for r in op2_licenses.scan(docs(spark, rows)).collect() if r["confirmed"])
+    assert got == [(1, 1, "proprietary"), (2, 1, "bsd"), (4, 0, "mit"), (4, 1, "cc-by-nc")]
