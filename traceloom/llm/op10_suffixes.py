@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays over suffixes.
+"""Removal of repeated byte strings by the least key of equal suffixes, in place of longest-previous-factor arrays.
 
 Every byte covered by a string of LENGTH bytes that also starts in a document with a smaller key goes.
 A window (LENGTH bytes inside one document) belongs to its anchor: the GRAM-byte string in it with the
@@ -9,9 +9,9 @@ least hash, leftmost on ties. Equal windows have equal anchors, so they can be c
              bit, which of them another document has too. Most anchors, and their text, end here.
 3. segments: each block sends the distinct stretches of text whose windows have a shared anchor, with the
              least key they have in the block, to the anchor's bucket.
-4. factors:  a bucket sorts the suffixes of its segments to depth LENGTH, ties by key. In that order a
-             suffix's previous smaller position within a run of common prefix >= LENGTH, if there is one,
-             is an earlier document's: that is where the longest previous factor reaches LENGTH.
+4. factors:  a bucket sorts the suffixes of its segments to depth LENGTH, ties by key. A suffix whose run of
+             equal ones begins with a smaller key is an earlier document's too: that is where the longest
+             previous factor would reach LENGTH. Factor lengths themselves are not computed.
              The bucket answers with a bit for each window.
 5. cut:      each block maps the bits back to its documents and removes what they cover.
 
@@ -242,8 +242,8 @@ def suffix_classes(data: np.ndarray, starts: np.ndarray, depth: int = LENGTH) ->
 
 
 def earlier_factor(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the previous smaller position in suffix order shares the whole depth: ties in rank are in
-    order of key, so the first of a run of equal ranks stands before all of them."""
+    """Whether a suffix of equal rank has a smaller key: ties in rank are in order of key, so the first of a
+    run of equal ranks has the least."""
     order = np.lexsort((key, rank))
     r, k = rank[order], key[order]
     new = np.r_[True, r[1:] != r[:-1]]
