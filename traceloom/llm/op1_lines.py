@@ -10,7 +10,8 @@ most BROADCAST_BYTES, else joined by host, where Spark splits hosts that are too
 
 Keys are compared by two hashes, of 64 and 32 bits. A null text stays null and has no lines; a null host is
 a host of its own. Repeated rows count as pages of their own. A page may be left with an empty text. No row
-is dropped, and all columns but the text are kept, whatever their names (those that begin with __ excepted).
+is dropped, and an empty table gives none. Very long texts are read whole. All columns but the text are kept,
+but n_lines and n_dropped of the input give way to the result's; names that begin with __ are reserved.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
     found = common.written(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
     if (found.agg(F.sum(F.size("__keys")), F.count("*")).first()[0] or 0) * 16 <= BROADCAST_BYTES:
         found = F.broadcast(found)
+    pages = pages.select(*[F.col(f"`{c}`") for c in common.beside(pages.columns, ["n_lines", "n_dropped"])])
     rows = pages.withColumn("__host", _host(F.col(host))).join(found, "__host", "left")
     lines = F.split(text, "\n")
     kept = F.when(F.col("__keys").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("__keys", _key(x)) | (F.trim(x) == "")))

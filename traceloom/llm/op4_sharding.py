@@ -6,13 +6,15 @@ shard sizes exact (at most one apart). Each partition permutes its rows locally
 deals them out by those counts; one exchange moves them; each shard permutes what it got by another hash.
 
 The matrix has (input partitions) x (shards) numbers, and goes along with each partition's number by a
-broadcast if it has at most BROADCAST_BYTES, else by a join. A shard of more than BIN_ROWS rows is permuted in
-bins of the hash's range, whose sizes are counted first, so no task sorts a whole shard of a large table.
+broadcast if it has at most BROADCAST_BYTES, else by a join. A shard of more than BIN_ROWS rows or, by the
+table's files, BIN_BYTES is permuted in bins of the hash's range, whose sizes are counted first, so no task sorts
+a whole shard of a large table.
 
 The input is read twice with the same partitions (once to count), so it has to be a scan or a written table;
 an input that isn't is written to the shared folder first. Nulls in any column are values like others, rows
 that are repeated are rows of their own, and ties between different rows go by all their columns. An empty
-table gives no rows. Columns that begin with __ are reserved.
+table gives no rows. Very long texts are rows like others. Columns `shard` and `slot` of the input give way to
+the result's; names that begin with __ are reserved.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import common
 
 SHARDS, SEED = 40, 17
-BIN_ROWS = 1_000_000
+BIN_ROWS, BIN_BYTES = 1_000_000, 256 << 20
 BROADCAST_BYTES = 64 << 20
 
 
@@ -43,6 +45,7 @@ def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int = BIN_ROWS) -> DataFrame:
     """df with shard and slot (its place in the shard, gapless from 0)."""
     spark = df.sparkSession
+    df = df.select(*[F.col(f"`{c}`") for c in common.beside(df.columns, ["shard", "slot"])])
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         df = common.written(df, "shard-input")
     counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()}
@@ -61,7 +64,7 @@ def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = SEED, bin_rows: int
     rows = rows.withColumn("shard", F.when(F.col("__r") < F.element_at("__ends", -1), shard).otherwise(F.raise_error(F.lit("the input's partitions changed between two reads"))).cast("int"))
     rows = rows.withColumn("__v", F.xxhash64(F.lit(seed + 1), "__u", "__p", "__r")).drop("__ends", "__r", "__u", "__p")
 
-    bins = max(1, -(-int(drawn.sum()) // shards // bin_rows))
+    bins = max(1, -(-int(drawn.sum()) // shards // bin_rows), -(-common.plan_bytes(df) // shards // BIN_BYTES))
     rows = rows.withColumn("__b", F.pmod(F.shiftrightunsigned("__v", 20), F.lit(bins)).cast("int"))
     order = Window.partitionBy("shard", "__b").orderBy("__v", *cols)
     if bins > 1:
