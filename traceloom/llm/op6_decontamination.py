@@ -2,15 +2,20 @@
 
 Text is normalised bytewise: A-Z lower-cased; runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] are words (so
 any non-ASCII character is a word character). An item's windows are its runs of `window` words; an item
-of fewer words, but not none, is one window. The automaton holds each window once, between spaces, and
-passes over each normalised document once; ends of matches are mapped back to word numbers, and from
-there to character spans of the original text.
-
-Each block of at most `BLOCK_BYTES` of benchmark text makes one automaton, which is what is sent to the
-executors; a larger benchmark gives more blocks, each scanned in turn by the same pass over a row.
-
-Null has no words, and neither has an item without words any window. Repeated item_ids count once.
-Repeated rows of documents give a row each. Without items nothing is hit.
+of fewer words, but not none, is one window. The automaton's symbols are the numbers of the benchmark's words,
+two symbols a word, so that no node has more than 256 children; a window takes 26 nodes at most. It passes
+over the word numbers of each document once; ends of matches are word numbers, and are mapped from there to
+character spans of the original text.
+
+The benchmark's size is read first. Up to BLOCK_BYTES it makes one automaton (about 150 MB in a Python worker for
+each MB), whose items are broadcast. Beyond, items are dealt by hash into blocks of about that size. Each block
+is a pass of its own that writes the hits it finds to the shared folder, so that a worker holds one automaton
+at a time; a last pass joins the hits with their documents.
+
+Null has no words, and neither has an item without words any window. Repeated item_ids count once. An item
+without id hits words, but is not among the items of a document. Repeated rows of documents give a row each;
+an empty table gives none. Without items nothing is hit. Very long texts are scanned whole. Of the columns to
+keep, those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import common
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 SHARE = 20  # contaminated: n_hit * SHARE >= n_words, and n_hit > 0
 
 _TABLE = bytes(ord(c.lower()) if (c := chr(b)).isascii() and c.isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -37,55 +42,68 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def automaton(items: list[tuple[str, str]], window: int):
-    """Of (item id, text); each pattern's value: number of its words, and the items that have it."""
-    import ahocorasick
-
-    found: dict[str, tuple[int, set]] = {}
-    for item, text in items:
-        w = [x.decode() for x in words(text)]
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            found.setdefault(f" {' '.join(part)} ", (len(part), set()))[1].add(item)
-    a = ahocorasick.Automaton()
-    for pattern, (n, ids) in found.items():
-        a.add_word(pattern, (n, tuple(sorted(ids))))
-    a.make_automaton()
-    return a
-
-
-_built: dict[str, object] = {}
-
-
-def _automaton_of(block, window):
+class Windows:
+    """The automaton of some items (item id, text); each pattern's value: number of its words, and its items."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        import ahocorasick
+
+        self.number: dict[bytes, int] = {}
+        found: dict[tuple, set] = {}
+        for item, text in items:
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                found.setdefault(tuple(w[i : i + window]), set()).add(item)
+        self.shortest = min(map(len, found), default=0)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern, ids in found.items():
+            self.automaton.add_word(self.symbols(np.array(pattern)), (len(pattern), tuple(sorted(x for x in ids if x is not None))))
+        self.automaton.make_automaton()
+
+    @staticmethod
+    def symbols(numbers: np.ndarray) -> tuple:
+        """Two symbols a word, of alphabets of their own: an ending on the second is an ending on a word. Numbers
+        from 1 << 16 on need more than 256 first symbols, which makes nodes larger but changes no match."""
+        return tuple(np.stack([256 + (numbers >> 8), numbers & 255], 1).reshape(-1).tolist())
+
+    def hits(self, w: list[bytes]):
+        """First word, past the last, and items of each match."""
+        if not self.shortest:
+            return
+        get = self.number.get
+        known = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
+        edge = np.flatnonzero(np.diff(np.r_[False, known > 0, False]))
+        for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):  # no window has a word that no item has
+            if z - a >= self.shortest:
+                for end, (n, ids) in self.automaton.iter(self.symbols(known[a:z])):
+                    last = a + end // 2 + 1
+                    yield last - n, last, ids
+
+
+_built: dict[str, Windows] = {}
+
+
+def _windows_of(block, window) -> Windows:
     key = hashlib.sha1(repr((block, window)).encode()).hexdigest()
     if key not in _built:
-        if len(_built) > 8:
-            _built.clear()
-        _built[key] = automaton(block, window)
+        _built.clear()
+        _built[key] = Windows(block, window)
     return _built[key]
 
 
-def scan(text: str | None, automata: list) -> tuple[int, np.ndarray, set]:
+def scan(text: str | None, windows: Windows) -> tuple[int, np.ndarray, set]:
     """Number of words, a mark for each word that is hit, and the items with windows in the text."""
     w = words(text)
-    items: set = set()
-    if not w:
-        return 0, np.zeros(0, bool), items
-    joined = f" {b' '.join(w).decode('utf-8', 'surrogatepass')} "
-    hits = []
-    for a in automata:
-        if len(a):
-            for end, (n, ids) in a.iter(joined):
-                hits.append((end, n))
-                items.update(ids)
-    mark = np.zeros(len(w) + 1, np.int64)
-    if hits:
-        blanks = np.flatnonzero(np.fromiter(map(ord, joined), np.uint32, len(joined)) == 32)
-        ends = np.searchsorted(blanks, [e for e, _ in hits])  # the blank after word k has number k + 1
-        np.add.at(mark, ends - [n for _, n in hits], 1)
-        np.add.at(mark, ends, -1)
-    return len(w), np.cumsum(mark)[:-1] > 0, items
+    found = list(windows.hits(w)) if w else []
+    return len(w), marks(len(w), [h[0] for h in found], [h[1] for h in found]), {i for h in found for i in h[2]}
+
+
+def marks(n: int, starts: list[int], ends: list[int]) -> np.ndarray:
+    out = np.zeros(n + 1, np.int64)
+    if starts:
+        np.add.at(out, starts, 1)
+        np.add.at(out, ends, -1)
+    return np.cumsum(out)[:-1] > 0
 
 
 def spans(text: str, mark: np.ndarray) -> list[tuple[int, int]]:
@@ -95,48 +113,85 @@ def spans(text: str, mark: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The benchmark's items on the driver, in blocks of bounded size."""
-    out, size = [[]], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct().toLocalIterator():
-        if r[0] is None or not r[1]:
-            continue
-        if size + len(r[1]) > limit and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((r[0], r[1]))
-        size += len(r[1])
-    return [sorted(b) for b in out]
+def items_of(benchmark: DataFrame) -> DataFrame:
+    got = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    return got.where("text <> ''").distinct()
 
 
+_RESULTS = ["n_words", "n_hit", "items", "spans"]
 _OUT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Columns `keep` of docs (default doc_id), then n_words, n_hit, items (sorted as strings) and spans."""
     spark = docs.sparkSession
     common.ship(spark)
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark)]
-    keep = keep or ["doc_id"]
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    keep = common.beside(keep or ["doc_id"], _RESULTS)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
+    items = items_of(benchmark)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = -(-size // block_bytes)
+    if n_blocks > 1:
+        return _in_blocks(rows, items, window, n_blocks)
+    shared = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in items.collect()), key=repr))
+    return _marked(rows, lambda t, _: scan(t, _windows_of(shared.value, window)))
+
+
+def _marked(rows: DataFrame, look, extra: int = 0) -> DataFrame:
+    """rows (columns to keep, __text, and `extra` more that look() takes) with the result columns."""
+    width = len(rows.columns) - 1 - extra
 
     def over(batches):
         common.claim("decontamination", _built.clear)
-        automata = [_automaton_of(b.value, window) for b in shared]
         for b in batches:
             n_words, n_hit, items, where = [], [], [], []
-            for t in b.column(b.num_columns - 1):
+            for i, t in enumerate(b.column(width)):
                 t = t.as_py()
-                n, mark, ids = scan(t, automata)
+                n, mark, ids = look(t, [b.column(width + 1 + k)[i].as_py() for k in range(extra)])
                 n_words.append(n)
                 n_hit.append(int(mark.sum()))
                 items.append(sorted(ids))
                 where.append([{"start": x, "end": y} for x, y in spans(t, mark)] if mark.any() else [])
-            cols = [*b.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:-1], "n_words", "n_hit", "items", "spans"])
+            cols = [*b.columns[:width], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(where, _SPAN)]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names[:width], *_RESULTS])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:width])
+    return rows.mapInArrow(over, schema + _OUT)
+
+
+def _in_blocks(rows: DataFrame, items: DataFrame, window: int, n_blocks: int) -> DataFrame:
+    spark = rows.sparkSession
+    rows = common.written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    items = common.written(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))), "items")
+
+    def passing(shared):
+        def over(batches):
+            common.claim("decontamination", _built.clear)
+            windows = _windows_of(shared.value, window)
+            for b in batches:
+                out = [(r, h[0], h[1], h[2]) for r, t in zip(b.column(0).to_pylist(), b.column(1)) for h in windows.hits(words(t.as_py()))]
+                for i in range(0, len(out), 5000):
+                    cols = zip(zip(*out[i : i + 5000]), (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], ["__row", "start", "end", "items"])
+
+        return over
+
+    found = []
+    for k in range(n_blocks):
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in items.where(f"block = {k}").select("item", "text").collect()])
+        found.append(common.written(rows.select("__row", "__text").mapInArrow(passing(shared), "__row long, start int, end int, items array<string>"), "hits"))
+        shared.unpersist()
+    hits = found[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    per_row = hits.groupBy("__row").agg(F.collect_set(F.struct("start", "end")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
+
+    def look(t, told):
+        w = words(t)
+        return len(w), marks(len(w), [h["start"] for h in told[0] or []], [h["end"] for h in told[0] or []]), set(told[1] or [])
 
-    return rows.mapInArrow(over, f"{schema}, {_OUT}")
+    return _marked(rows.join(per_row, "__row", "left").select(*rows.columns[:-1], "hits", "found"), look, 2)
 
 
 def is_contaminated() -> F.Column:
@@ -154,7 +209,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Word windows of each length that the benchmark has, joined to those of the documents.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 p AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(list_slice(w, s, s + least(len(w), 13) - 1), ' ') AS g
       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS s FROM i WHERE len(w) > 0)),
 g AS (SELECT k, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS g
