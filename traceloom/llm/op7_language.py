@@ -8,13 +8,15 @@ the mean over all languages.
 
 The fit takes at most FIT_ROWS labelled rows for each language, those with the least hash of key and
 text; labels come from any string column. Texts that are null or have no letter give `und`, score 0.
-Ties go to the first language in order of name. Without labelled rows every text gives `und`. Repeated
-rows give a row each; further columns are ignored.
+A letter is a character of category L. Ties go to the first language in order of name. Without labelled
+rows every text gives `und`, and an empty table gives no rows. Repeated rows give a row each. Very long texts
+are read whole. Of the columns to keep, those named like a result column give way to it; others are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,9 @@ DIM = 512
 FIT_ROWS = 2000
 UNKNOWN = "und"
 
-_NON_LETTERS = re.compile(r"[\W\d_]+")
+#: Signs of the categories No and Nl count as word characters in patterns, but are no letters.
+_NUMERALS = "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NON_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 _letters: dict[int, np.ndarray] = {}
 _grams: dict[int, int] = {}
 _rows = np.zeros((1024, DIM), np.int8)
@@ -114,10 +118,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs (default doc_id), then lang_pred and score: the share of the best language in
-    the softmax of the cosines, times 0.5 or more where the best cosine is low."""
+    """Columns `keep` of docs (default doc_id), then lang_pred, score (the share of the best language in the
+    softmax of the cosines, times 0.5 or more where the best cosine is low) and cosine (the best one; 0 for und)."""
     common.ship(docs.sparkSession)
-    keep = keep or ["doc_id"]
+    keep = common.beside(keep or ["doc_id"], ["lang_pred", "score", "cosine"])
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIM)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -126,20 +130,32 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     def over(batches):
         common.claim("language", _clear)
         for b in batches:
-            lang, score = [], []
+            lang, score, best = [], [], []
             for t in b.column(b.num_columns - 1):
                 v = vector(t.as_py())
                 if v is None or not names:
                     lang.append(UNKNOWN)
                     score.append(0.0)
+                    best.append(0.0)
                     continue
                 cos = (matrix @ v).astype(np.float64)
                 e = np.exp((cos - cos.max()) * 10)
                 lang.append(names[int(cos.argmax())])
+                best.append(round(float(cos.max()), 6))
                 score.append(round(float(e.max() / e.sum()) * min(1.0, 0.5 + max(0.0, float(cos.max()))), 6))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score", "cosine"])
 
-    return rows.mapInArrow(over, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(over, f"{schema}, lang_pred string, score double, cosine double")
+
+
+def least_cosine(labelled: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", label: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> float:
+    """A bound for the best cosine below which a text is of no learned language: half of the value that all but a
+    hundredth of the labelled rows reach. It is taken on about fit_rows labelled rows, those with the least hash."""
+    rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key")).where("text is not null and label is not null")
+    share = min(1.0, fit_rows / max(1, rows.count()))
+    told = predict(rows.where(F.xxhash64("key", "text").cast("double") < -(2.0**63) + 2.0**64 * share), prototypes, keep=["key"])
+    found = told.where(F.col("lang_pred") != UNKNOWN).agg(F.percentile_approx("cosine", 0.01, 10_000)).first()[0]
+    return found / 2 if found else 0.0
 
 
 def held_out() -> F.Column:
