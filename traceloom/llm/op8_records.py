@@ -7,8 +7,8 @@ a checksum over data that holds checksums stays sound. Spark's own text writer p
 into the files, so its commit protocol keeps whole files only, on any store that Spark can write.
 
 Order: ascending key over the files and in each file, null keys first; rows that tie on the key follow
-by their ids. Nulls and empty texts give the end id alone. Repeated rows give a record each. An empty
-table gives no records. Further columns of the input are ignored, whatever their names.
+by their ids. Nulls and empty texts give the end id alone. Repeated rows give a record each. A very long text
+is one record. An empty table gives no records. Further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ def frames(content: bytes):
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Writes records under path/records and the index (file, record, key, offset, length) under path/index."""
+    """Writes records under path/records and the index (file, record, key, offset, length, n: its ids) under path/index."""
     spark = docs.sparkSession
     common.ship(spark)
     tokenizer = tokenizer or tokens.default_path()
@@ -73,7 +73,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, key:
                 yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 1000], pa.binary())], ["value"])
 
     rows.mapInArrow(framed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/records")
-    _parsed(spark, path).select("file", "record", "key", "offset", "length").write.parquet(f"{path}/index")
+    _parsed(spark, path).select("file", "record", "key", "offset", "length", "n").write.parquet(f"{path}/index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -108,13 +108,17 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names)
 
 
+def file_order(name: str) -> list:
+    """Part files are numbered along the ranges of keys, with five digits or more."""
+    return [F.regexp_extract(name, "^part-([0-9]+)", 1).cast("long"), F.col(name)]
+
+
 def read_records(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """The records in file order: key, start (ids of all records before), n_tokens, ids_crc32 and, if asked for, ids."""
     parsed = _parsed(spark, path, with_ids)
-    # one row a file; names of part files ascend with the ranges of keys
-    totals = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.max(F.struct("record", "offset", "length")).alias("last"))
-    sizes = parsed.groupBy("file").agg(F.sum("n").alias("ids")).join(totals, "file")
-    sizes = sizes.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row a file
+    sizes = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n").alias("ids"))
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("ids").over(Window.orderBy(*file_order("file")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = parsed.join(sizes.select("file", "base"), "file")
     return rows.select(F.col("key"), (F.col("base") + F.col("before")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"), *(["ids"] if with_ids else []))
 
