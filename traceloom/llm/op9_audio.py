@@ -1,15 +1,16 @@
 """Media columns: payloads as 8-bit mono WAVE, and log-mel features of the samples read back.
 
-Stored form: a RIFF/WAVE file of unsigned 8-bit PCM, one byte a sample, so any payload is kept whole.
-Features, at the stored rate: a polyphase filter resamples by UP / DOWN; frames of FRAME samples, HOP
-apart, the last one filled with zeros, are windowed and transformed; MELS triangular filters give log energies. Frames are grouped in
-tensors of fixed shape (TENSOR_FRAMES, MELS), the last one filled with the floor value, each with its
-time span. Segments: a frame louder than the clip's mean by HIGH opens one, one quieter than the mean
-by LOW closes it (hysteresis).
-
-Everything is computed for a clip by itself, so equal payloads give equal bytes and features. Null is
-an empty payload; repeated rows give a row each; a table without rows gives none; further columns are
-ignored.
+Stored form: a RIFF/WAVE file of unsigned 8-bit PCM, one byte a sample, so any payload is kept whole. It is
+written to the shared folder and read back. Features, at the stored rate: a polyphase filter resamples by
+UP / DOWN; frames of FRAME samples, HOP apart, the last one filled with zeros, are windowed and transformed; MELS
+triangular filters give log energies. Frames are grouped in tensors of fixed shape (TENSOR_FRAMES, MELS), the last
+one filled with the floor value, each with its time span. Segments: a frame louder than the clip's mean by HIGH
+opens one, one quieter than the mean by LOW closes it (hysteresis). What is stored of a clip is an Arrow stream
+with a fixed-shape tensor column, the spans and the segments that begin in them.
+
+Everything is computed for a clip by itself, so equal payloads give equal bytes and features, in whatever order
+they come. Null is an empty payload; very long texts are one clip; repeated rows give a row each; a table without
+rows gives none; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm import common
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16  # TAPS: of each phase
+RATE, UP, DOWN, TAPS = 16_000, 3, 4, 32  # TAPS: of each phase
 FRAME, HOP, MELS, TENSOR_FRAMES = 256, 128, 24, 64
 HIGH, LOW, FLOOR = 0.5, 0.1, -12.0
 BLOCK = 64
@@ -53,29 +54,26 @@ def from_wave(media: bytes) -> bytes:
 
 
 @functools.cache
-def _phases() -> np.ndarray:
-    n = TAPS * UP * DOWN
+def _phases(up: int = UP, down: int = DOWN) -> np.ndarray:
+    """(up, TAPS): phase r has the taps r, r + up, ... of a low-pass filter at the rate of up times the input's."""
+    n = TAPS * up
     t = np.arange(n) - (n - 1) / 2
-    cut = 1 / max(UP, DOWN)
-    h = np.sinc(t * cut) * np.hamming(n) * cut * UP
-    return h.astype(np.float32)
-
-
-def resample(x: np.ndarray) -> np.ndarray:
-    """By UP / DOWN: output k is the dot product of the inputs around k * DOWN / UP with one phase of the filter."""
-    h = _phases()
-    m = -(-len(x) * UP // DOWN)
-    width = -(-len(h) // UP)
-    padded = np.concatenate([np.zeros(width, np.float32), x, np.zeros(width + DOWN, np.float32)])
-    at = np.lib.stride_tricks.sliding_window_view(padded, width)
-    out = np.empty(m, np.float32)
-    for p in range(UP):
-        k = np.arange(p, m, UP)
-        if len(k):
-            phase = h[(p * DOWN) % UP :: UP][::-1]
-            first = k[0] * DOWN // UP + width - width // 2
-            rows = at[first :: DOWN][: len(k)]
-            out[p::UP] = rows[:, width - len(phase) :] @ phase
+    cut = 1 / max(up, down)
+    h = np.sinc(t * cut) * np.hamming(n) * cut * up
+    return h.astype(np.float32).reshape(TAPS, up).T
+
+
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """By up / down. Output k stands at k * down of the finer rate, with the filter's middle on it: with
+    k * down + middle = q * up + r, it is the dot product of phase r with the inputs q, q - 1, ..."""
+    phases, middle = _phases(up, down), TAPS * up // 2
+    k = np.arange(-(-len(x) * up // down))
+    q, r = np.divmod(k * down + middle, up)
+    padded = np.concatenate([np.zeros(TAPS, np.float32), x, np.zeros(TAPS, np.float32)])
+    at = np.lib.stride_tricks.sliding_window_view(padded, TAPS)  # row q + 1 ends with input q
+    out = np.empty(len(k), np.float32)
+    for p in range(min(up, len(k))):  # outputs p, p + up, ... are of one phase, and their inputs down apart
+        out[p::up] = at[q[p] + 1 :: down][: len(out[p::up])] @ phases[r[p], ::-1]
     return out
 
 
@@ -121,7 +119,7 @@ def clip_features(samples: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mel = log_mel(resample(x))
     step = HOP * DOWN / UP / RATE
     n = -(-len(mel) // TENSOR_FRAMES)
-    full = np.full((n * TENSOR_FRAMES, MELS), np.float32(FLOOR))
+    full = np.full((n * TENSOR_FRAMES, MELS), FLOOR, np.float32)
     full[: len(mel)] = mel
     spans = np.array([(i * TENSOR_FRAMES * step, min(len(mel), (i + 1) * TENSOR_FRAMES) * step) for i in range(n)])
     return full.reshape(n, TENSOR_FRAMES, MELS), spans, np.array(segments(mel), float).reshape(-1, 2) * step
@@ -143,53 +141,79 @@ def media(docs: DataFrame) -> DataFrame:
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
 
 
-def feature_batches(stored: pa.RecordBatch):
-    """For each clip of (doc_id, n_bytes, media): its row of plain values, the samples, and an Arrow batch with a
-    fixed-shape tensor column and its time spans."""
-    for k, n, m in zip(*stored.columns):
-        raw = m.as_py()
-        samples = from_wave(raw)
-        tensors, spans, found = clip_features(samples)
-        flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), TENSOR_FRAMES * MELS)
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(tensors)), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(TENSOR, flat)], ["part", "start_s", "end_s", "log_mel"])
-        yield k.as_py(), n.as_py(), raw, samples, batch, found
+_SEGMENTS = pa.list_(pa.list_(pa.float64()))
+
+
+def _encoded(samples: bytes) -> bytes:
+    """An Arrow stream: part, start_s, end_s, log_mel (a fixed-shape tensor), and segments that begin in the part."""
+    tensors, spans, found = clip_features(samples)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), TENSOR_FRAMES * MELS)
+    length = TENSOR_FRAMES * HOP * DOWN / UP / RATE
+    of = np.minimum((found[:, 0] / length + 1e-9).astype(int), len(tensors) - 1)
+    begin = [found[of == i].tolist() for i in range(len(tensors))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(tensors)), pa.int32()), pa.array(spans[:, 0]), pa.array(spans[:, 1]), pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(begin, _SEGMENTS)], ["part", "start_s", "end_s", "log_mel", "segments"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_of(stream: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(stream)))
+
+
+_CLIP = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("tensors", pa.binary())]
 
 
 def features(stored: DataFrame) -> DataFrame:
-    """Of media(): a row for each tensor - part, start_s, end_s, log_mel (TENSOR_FRAMES * MELS floats, row by row),
-    and the segments [start_s, end_s] that begin in it."""
+    """Of media(), read back: a row a clip with digests of its payload and its stored form, and its tensors."""
     common.ship(stored.sparkSession)
 
     def over(batches):
         for b in batches:
-            for k, _, _, _, t, found in feature_batches(b):
-                starts = t.column("start_s").to_numpy()
-                in_part = [[[float(s), float(e)] for s, e in found if at <= s < at + TENSOR_FRAMES * HOP * DOWN / UP / RATE] for at in starts]
-                storage = t.column("log_mel").storage.cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(t), pa.int64()), *t.columns[:3], storage, pa.array(in_part, pa.list_(pa.list_(pa.float64())))], ["doc_id", "part", "start_s", "end_s", "log_mel", "segments"])
+            for at in range(0, b.num_rows, 200):
+                rows = []
+                for k, n, m in zip(*(c[at : at + 200] for c in b.columns)):
+                    raw = m.as_py()
+                    samples = from_wave(raw)
+                    rows.append((k.as_py(), n.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), _encoded(samples)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _CLIP)], [n for n, _ in _CLIP])
 
-    return stored.mapInArrow(over, "doc_id long, part int, start_s double, end_s double, log_mel array<float>, segments array<array<double>>")
+    return stored.mapInArrow(over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors binary")
 
 
-_DIGEST = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+def unpacked(clips: DataFrame) -> DataFrame:
+    """Of features(): a row for each tensor, with log_mel as plain floats, row by row."""
+    common.ship(clips.sparkSession)
 
+    def over(batches):
+        for b in batches:
+            for k, raw in zip(b.column(0), b.column(1)):
+                t = tensors_of(raw.as_py())
+                storage = t.column("log_mel").storage.cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(t), pa.int64()), *t.columns[:3], storage, t.column("segments")], ["doc_id", "part", "start_s", "end_s", "log_mel", "segments"])
 
-def digests(stored: DataFrame) -> DataFrame:
-    """What op9 returns, from the stored form and its tensors. feature: tensors, segments, CRC-32 of the tensors' bytes."""
-    common.ship(stored.sparkSession)
+    return clips.select("doc_id", "tensors").mapInArrow(over, "doc_id long, part int, start_s double, end_s double, log_mel array<float>, segments array<array<double>>")
+
+
+def digests(clips: DataFrame) -> DataFrame:
+    """What op9 returns, of features(), read back. feature: number of tensors and of segments, CRC-32 of the tensors'
+    bytes, their mean."""
+    common.ship(clips.sparkSession)
 
     def over(batches):
         for b in batches:
-            rows = []
-            for k, n, raw, samples, t, found in feature_batches(b):
+            out = []
+            for raw in b.column(b.num_columns - 1):
+                t = tensors_of(raw.as_py())
                 values = t.column("log_mel").storage.values.to_numpy()
-                feature = f"{len(t)}:{len(found)}:{zlib.crc32(values.tobytes()):08x}:{float(values.astype(np.float64).mean()):.2f}"
-                rows.append((k, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _DIGEST)], [n for n, _ in _DIGEST])
+                n = sum(map(len, t.column("segments").to_pylist()))
+                out.append(f"{len(t)}:{n}:{zlib.crc32(values.tobytes()):08x}:{float(values.astype(np.float64).mean()):.2f}")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*b.schema.names[:-1], "feature"])
 
-    return stored.mapInArrow(over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return clips.mapInArrow(over, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(media(common.table(spark, sf_dir, "documents")))
+    stored = common.written(media(common.table(spark, sf_dir, "documents")), "media", "zstd")
+    return digests(common.written(features(stored), "tensors", "zstd"))
