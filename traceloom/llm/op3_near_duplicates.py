@@ -17,10 +17,13 @@ thousand cases, and even then some chunk agrees but for one symbol: all of them
 5. confirm:  candidates are compared on full shingle sets; confirmed ones are edges for the components.
 
 A group of copies is confirmed against its centre and settled in step 3, so its pairs are not listed. No
-bucket is capped: step 4 has all pairs that step 3 left open and that can be links.
+bucket is capped: step 4 has all pairs that step 3 left open and that can be links. A centre with many
+partners is sent to as many tasks as its buckets are large, and its partners are dealt over them.
 
 Null and empty texts and texts without words have no shingles, and are linked with nothing. Rows that repeat
 a doc_id count as linked. A null doc_id is linked with nothing and is its own row. An empty table gives none.
+Very long texts are one row of the exchange and are shingled whole. Ties between centres go to the smaller
+doc_id. Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ SHINGLE, PERCENT = 4, 80
 CHUNKS, WIDTH = 10, 5
 LIMIT = 24  # differing symbols of a candidate; above the 2 * CHUNKS - 1 for which meeting is certain
 SMALL = 12  # buckets of up to so many classes are joined with themselves
+SHARE = 64  # partners of a centre through one bucket that one task has
 
 _U = np.uint64
 _TABLE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=_U)
@@ -154,23 +158,30 @@ def keys_of(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(over, "key long, cls long")
 
 
+def _beside(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """pairs (a, b, n), with each one's value as va and vb. n bounds the partners that a has through one bucket:
+    where it is above SHARE, a's partners are dealt over n / SHARE tasks, and a's row is sent to each."""
+    side = lambda k: table.select(F.col(key).alias(k), F.col(value).alias(f"v{k}"))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SHARE)))
+    own = salted.select("a", "salt").distinct().join(side("a").hint("merge"), "a")
+    return salted.join(side("b").hint("merge"), "b").join(own.hint("merge"), ["a", "salt"])
+
+
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the candidates (a, b) those whose signatures differ in at most LIMIT symbols."""
-    sig = classes.select("cls", "sig")
+    """Of the candidates (a, b, n) those whose signatures differ in at most LIMIT symbols."""
 
     def over(batches):
         common.claim("near-duplicates", _powers.cache_clear)
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(b.num_rows, -1) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(b.num_rows, -1) for i in (3, 4))
             ok = pa.array((x != y).sum(1) <= LIMIT)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(ok) for i in range(3)], ["a", "b", "n"])
 
-    both = pairs.join(sig.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(over, "a long, b long")
+    return _beside(pairs, classes, "cls", "sig").select("a", "b", "n", "va", "vb").mapInArrow(over, "a long, b long, n long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Of the candidates (a, b) those similar enough by their full shingle sets."""
+    """Of the candidates (a, b, n) those similar enough by their full shingle sets."""
 
     def over(batches):
         common.claim("near-duplicates", _powers.cache_clear)
@@ -192,13 +203,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataF
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(over, "a long, b long")
+    return _beside(pairs, texts, "doc_id", "text").select("a", "b", "va", "vb").mapInArrow(over, "a long, b long")
 
 
 def _rare_prefixes(open_classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """token, cls, component, size, place: of each class the shingles that come first by (number of open classes with it,
+    """token, cls, component, size, place, n: of each class the shingles that come first by (number of open classes with it,
     hash), as many as two similar sets must share one of; without those that no other class has."""
 
     def over(batches):
@@ -215,7 +224,13 @@ def _rare_prefixes(open_classes: DataFrame, texts: DataFrame, shingle: int) -> D
     own = Window.partitionBy("cls", "size")
     kept = tokens.join(shared, "token").withColumn("place", F.row_number().over(own.orderBy("df", "token")) + F.col("size") - F.count("*").over(own))
     most = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1
-    return kept.where(F.col("place") <= most).select("token", "cls", "component", "size", "place")
+    out = common.written(kept.where(F.col("place") <= most).select("token", "cls", "component", "size", "place", F.col("df").alias("n")), "prefixes")
+    common.discard(tokens)
+    return out
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -225,16 +240,18 @@ def _open_pairs(members: DataFrame, comps: DataFrame, classes: DataFrame, texts:
     rows = members.where("n > 2").select("key", "cls", "n", "centre").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rows = common.written(rows.join(mixed, "key"), "open")
-    few = rows.where(f"n <= {SMALL} and cls <> centre").select("key", "cls", "component")
+    few = rows.where(f"n <= {SMALL} and cls <> centre").select("key", "cls", "component", "n")
     other = few.select("key", F.col("cls").alias("b"), F.col("component").alias("cb"))
-    small = few.join(other, "key").where("cls < b and component <> cb").select(F.col("cls").alias("a"), "b")
+    small = few.join(other, "key").where("cls < b and component <> cb").select(F.col("cls").alias("a"), "b", "n")
 
-    prefixes = common.written(_rare_prefixes(rows.where(f"n > {SMALL}").select("cls", "component").distinct(), texts, shingle), "prefixes")
+    prefixes = _rare_prefixes(rows.where(f"n > {SMALL}").select("cls", "component").distinct(), texts, shingle)
     other = prefixes.select("token", F.col("cls").alias("b"), F.col("component").alias("cb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
     # from the first shared shingle on, no more than what is left of either set can be shared
     fits = f"cls < b and component <> cb and 100 * least(size, sb) >= {PERCENT} * greatest(size, sb) and (100 + {PERCENT}) * (1 + least(size - place, sb - pb)) >= {PERCENT} * (size + sb)"
-    large = prefixes.join(other, "token").where(fits).select(F.col("cls").alias("a"), "b")
-    return near(small.unionByName(large).distinct(), classes)
+    large = prefixes.join(other, "token").where(fits).select(F.col("cls").alias("a"), "b", "n")
+    out = common.written(near(_once(small.unionByName(large)), classes), "pairs")
+    common.discard(rows, prefixes)
+    return out
 
 
 def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -251,19 +268,23 @@ def link(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     weight = members.groupBy("cls").agg(F.sum("n").alias("weight"))
     weighted = members.join(weight, "cls")
     centre = weighted.groupBy("key").agg(F.max(F.struct("weight", F.negative("cls").alias("minus"))).alias("c")).select("key", F.negative("c.minus").alias("centre"))
-    members = common.written(members.join(centre, "key"), "centred")
-    stars = members.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    centred = common.written(members.join(centre, "key"), "centred")
+    common.discard(members)
+    stars = _once(centred.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"), "n"))
     stars = common.written(near(stars, classes), "stars")
 
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = members.where("n > 2").select(F.col("cls").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct()
-    texts = common.written(source.join(named, "doc_id", "left_semi"), "texts")
+    named = common.written(centred.where("n > 2").select(F.col("cls").alias("doc_id")).union(stars.select("a")).union(stars.select("b")).distinct(), "named")
+    # only texts that are needed are exchanged; a semi-join would be pushed below the filter
+    texts = common.written(common.likely(source, named, "doc_id", named.count()).join(named.hint("merge"), "doc_id"), "texts")
     edges = common.written(confirm(stars, texts, shingle), "edges")
     comps = components(edges)
-    extra = common.written(_open_pairs(members, comps, classes, texts, shingle), "pairs")
+    extra = _open_pairs(centred, comps, classes, texts, shingle)
+    common.discard(centred, stars)
     if extra.take(1):
-        more = confirm(extra, texts, shingle)
+        more = common.written(confirm(extra, texts, shingle), "more")
         comps = components(edges.unionByName(more))
+    common.discard(texts, extra, named)
 
     by_class = classes.select(*identity, "cls").join(comps.select(F.col("node").alias("cls"), "component"), "cls", "left").select(*identity, F.coalesce("component", "cls").alias("component"))
     # sets that share a doc_id share its node
