@@ -44,7 +44,7 @@ def corpus(seed, n=60):
     return [*out, (n + 1, None), (n + 2, ""), (n + 3, " \n\t"), (n + 4, "é" * 3000), (n + 5, "One two"), (n + 6, "one  TWO"), (n + 7, "a " * 4000), (None, out[0][1]), out[5], out[5]]
 
 
-def test_empty_tables(spark):
+def test_empty_tables(spark, tmp_path):
     none = docs(spark, [])
     assert op1_lines.drop_boilerplate(none).count() == 0
     assert op2_licenses.scan(none).count() == 0
@@ -53,8 +53,10 @@ def test_empty_tables(spark):
     assert op5_packing.pack(none).count() == 0
     assert op6_decontamination.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert op7_language.predict(none, op7_language.fit(none)).count() == 0
-    assert op9_audio.digests(op9_audio.media(none)).count() == 0
+    assert op9_audio.digests(op9_audio.features(op9_audio.media(none))).count() == 0
     assert op10_suffixes.remove_repeats(none).count() == 0
+    op8_records.write_records(none, str(tmp_path / "r"))
+    assert op8_records.read_records(spark, str(tmp_path / "r")).count() == 0
 
 
 def test_lines_drop_what_is_common_on_a_host(spark):
@@ -262,8 +264,23 @@ def test_decontamination_against_brute_force(spark):
 
 def test_a_benchmark_beyond_a_block_gives_the_same(spark):
     items = spark.createDataFrame([(i, f"alpha beta gamma w{i}") for i in range(30)], "item_id long, text string")
-    whole, cut = op6_decontamination.blocks(items), op6_decontamination.blocks(items, 50)
-    assert len(whole) == 1 and len(cut) > 5 and sorted(x for b in cut for x in b) == whole[0]
+    rows = [(k, f"x alpha beta gamma w{k} alpha BETA gamma w{k + 1} y") for k in range(40)] + [(50, None), (51, ""), (3, "alpha beta gamma w3")]
+    told = lambda **a: sorted((tuple(map(repr, r)) for r in op6_decontamination.decontaminate(docs(spark, rows), items, **a).collect()))
+    whole = told()
+    assert whole == told(block_bytes=100) and sum("['1', '2']" in r[3] for r in whole) == 1
+
+
+def test_an_item_without_id_hits_words_only(spark):
+    items = spark.createDataFrame([(None, "alpha beta"), (7, "beta gamma")], "item_id long, text string")
+    got = op6_decontamination.decontaminate(docs(spark, [(1, "x alpha beta gamma"), (2, "alpha beta")]), items).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["items"]) for r in got] == [(3, ["7"]), (2, [])]
+
+
+def test_patterns_of_many_words_match_at_words_only():
+    many = [(str(i), f"w{i} w{i + 256} w{i + 65536}") for i in range(0, 70_000, 97)]
+    windows = op6_decontamination.Windows(many, 13)
+    n, mark, found = op6_decontamination.scan("w97 w353 w65633 w97 w0 w256 w65536 w353 w65633", windows)
+    assert (n, mark.tolist(), found) == (9, [True] * 3 + [False] + [True] * 3 + [False] * 2, {"97", "0"})
 
 
 def test_language(spark):
@@ -271,10 +288,10 @@ def test_language(spark):
     syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["schl", "ung", "ein", "ver"], "cc": ["eau", "ille", "ou", "ç"]}
     text = lambda l: " ".join("".join(r.choice(syllables[l]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 60)))
     rows = [(i, text(l), l) for i in range(150) for l in [r.choice(list(syllables))]]
-    df = spark.createDataFrame(rows + [(200, None, "aa"), (201, "", "bb"), (202, "12 34 !", "cc"), (203, "ka to mi", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows + [(200, None, "aa"), (201, "", "bb"), (202, "12 34 !", "cc"), (203, "ka to mi", None), (204, "½ ² ① Ⅷ", "aa")], "doc_id long, text string, lang string")
     got = {x["doc_id"]: x for x in op7_language.predict(df, op7_language.fit(df.where("doc_id < 100 or doc_id > 190"))).collect()}
     assert all(got[i]["lang_pred"] == l for i, _, l in rows[100:])
-    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (200, 201, 202)) and got[203]["lang_pred"] == "aa"
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (200, 201, 202, 204)) and got[203]["lang_pred"] == "aa"
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
@@ -310,17 +327,27 @@ def test_damaged_records_are_found():
             list(op8_records.frames(bytes(bad)))
 
 
+def from_payload(text):
+    return op9_audio.from_wave(op9_audio.to_wave(op9_audio.payload(text)[1]))
+
+
 def test_audio(spark):
     rows = [(1, "hello world " * 200), (2, None), (3, ""), (4, "é" * 5000), (5, "hello world " * 200)]
     stored = op9_audio.media(docs(spark, rows))
-    got = {x["doc_id"]: x for x in op9_audio.digests(stored).collect()}
+    clips = op9_audio.features(stored)
+    got = {x["doc_id"]: x for x in op9_audio.digests(clips).collect()}
     for k, t in rows:
         raw = (t or "").encode()
         data = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         x = got[k]
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
     assert got[1]["feature"] == got[5]["feature"] != got[4]["feature"]
-    f = op9_audio.features(stored).where("doc_id = 1").orderBy("part").collect()
+    f = op9_audio.unpacked(clips).where("doc_id = 1").orderBy("part").collect()
+    stream = clips.where("doc_id = 1").first()["tensors"]
+    assert op9_audio.tensors_of(stream).schema.field("log_mel").type == op9_audio.TENSOR
+    whole, spans, found = op9_audio.clip_features(from_payload(rows[0][1]))
+    assert [x["log_mel"] for x in f] == whole.reshape(len(f), -1).tolist() and [[x["start_s"], x["end_s"]] for x in f] == spans.tolist()
+    assert [y for x in f for y in x["segments"]] == found.tolist()
     assert all(len(x["log_mel"]) == op9_audio.TENSOR_FRAMES * op9_audio.MELS for x in f)
     assert f[0]["start_s"] == 0 and all(a["end_s"] == b["start_s"] for a, b in zip(f, f[1:]))
 
@@ -328,7 +355,17 @@ def test_audio(spark):
 def test_polyphase_resampling_keeps_a_tone_and_drops_what_would_alias():
     t = np.arange(16000) / op9_audio.RATE
     low, high = (op9_audio.resample(np.sin(2 * np.pi * f * t).astype(np.float32))[200:-200] for f in (500, 7000))
-    assert len(low) == 8000 - 400 and 0.65 < low.std() < 0.76 and high.std() < 0.05
+    assert len(low) == 12000 - 400 and 0.65 < low.std() < 0.76 and high.std() < 0.05
+
+
+@pytest.mark.parametrize("up, down", [(3, 4), (1, 2), (2, 3), (5, 3), (1, 1)])
+def test_polyphase_resampling_is_filtering_between_zeros(up, down):
+    x = np.random.default_rng(1).normal(size=101).astype(np.float32)
+    h = op9_audio._phases(up, down).T.reshape(-1).astype(float)
+    fine = np.zeros(len(x) * up)
+    fine[::up] = x
+    want = np.concatenate([np.convolve(fine, h), np.zeros(len(h))])[len(h) // 2 :][: len(fine)][::down]
+    assert np.allclose(op9_audio.resample(x, up, down), want, atol=1e-4)
 
 
 def test_hysteresis_keeps_a_segment_over_a_short_dip():
@@ -370,6 +407,44 @@ def test_suffix_ranks_are_those_of_sorted_prefixes():
     assert op10_suffixes.suffix_classes(data, starts).tolist() == [want[data[i : i + 50].tobytes()] for i in starts]
 
 
+def test_near_dedup_keeps_different_texts_of_one_doc_id(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    r = random.Random(2)
+    a, b, c = (" ".join(word(r) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b + " more"), (3, c), (None, c), (4, None), (4, "")]
+    d = docs(spark, rows).selectExpr("doc_id", "text", "'en' lang", "'src0' source", "length(text) n_chars")
+    got = sorted(((x["doc_id"], x["text"]) for x in cp.near_dedup(spark, d, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, c), (4, None), (4, "")], key=repr)
+
+
+def test_language_stage_rejects_letter_junk(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(8)
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["schl", "ung", "ein", "ver"], "cc": ["eau", "ille", "ou", "so"]}
+    text = lambda l: " ".join("".join(r.choice(syllables[l]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(30, 60)))
+    junk = [(1000 + i, " ".join("".join(r.choice("qwxzjvpf") for _ in range(9)) for _ in range(60)), None) for i in range(20)]
+    rows = [(i, text(l), l) for i in range(200) for l in [r.choice(list(syllables))]]
+    d = spark.createDataFrame([(k, t, l, "s", len(t)) for k, t, l in rows + junk], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x["doc_id"] for x in cp.language(spark, d, "").collect()) == list(range(200))
+
+
+def test_columns_named_like_results_give_way(spark):
+    rows = spark.createDataFrame([(1, "a b\nc", "s", 9, 9, 9, 9, 9, 9)], "doc_id long, text string, source string, n_lines int, n_dropped int, shard int, slot int, items int, lang_pred int")
+    assert op1_lines.drop_boilerplate(rows).first()["n_lines"] == 2
+    assert op4_sharding.shuffle(rows).first()["slot"] == 0
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert op6_decontamination.decontaminate(rows, items, keep=rows.columns).first()["items"] == ["1"]
+    assert op7_language.predict(rows, {}, keep=rows.columns).first()["lang_pred"] == "und"
+
+
+def test_files_are_read_in_order_of_their_numbers(spark):
+    names = ["part-100000-x.txt", "part-99999-x.txt", "part-00002-x.txt"]
+    got = spark.createDataFrame([(n,) for n in names], "file string").orderBy(*op8_records.file_order("file")).collect()
+    assert [r["file"] for r in got] == names[::-1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
@@ -408,7 +483,7 @@ def test_near_dedup_stage_takes_five_words(spark, tmp_path):
 
 
 def test_the_end_of_a_clip_is_in_its_features():
-    one = bytes(range(128, 160)) * 26  # 832 bytes: 416 resampled samples, 32 of them beyond the last hop
+    one = bytes(range(128, 160)) * 18  # 576 bytes: 432 resampled samples, 48 of them beyond the last whole frame
     two = one[:-24] + bytes(24)
     (a, _, _), (b, _, _) = op9_audio.clip_features(one), op9_audio.clip_features(two)
     assert (a != b).any()
