@@ -407,6 +407,34 @@ def test_suffix_ranks_are_those_of_sorted_prefixes():
     assert op10_suffixes.suffix_classes(data, starts).tolist() == [want[data[i : i + 50].tobytes()] for i in starts]
 
 
+@pytest.mark.parametrize("letters, depth", [("ab", 50), ("abcd", 50), ("a", 50), ("abc", 12)])
+def test_longest_previous_factors_against_brute_force(letters, depth):
+    r = random.Random(len(letters))
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(depth, 150))) for _ in range(12)]
+    texts += [t[r.randint(0, 30) :] + t for t in texts[:6]]
+    data = "".join(texts).encode()
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.array([i for e, t in zip(ends, texts) for i in range(e - len(t), e - depth + 1)])
+    key = np.array([r.randint(0, 8) for _ in texts])[np.searchsorted(ends, starts, "right")]
+    same = lambda a, b: next((i for i in range(depth) if data[a + i] != data[b + i]), depth)
+    want = [max((same(a, b) for b, y in zip(starts, key) if y < x), default=0) for a, x in zip(starts, key)]
+    assert op10_suffixes.longest_previous_factor(np.frombuffer(data, np.uint8), starts, key, depth).tolist() == want
+
+
+def test_a_phrase_in_many_contexts_is_dealt_by_window(spark, monkeypatch):
+    r = random.Random(5)
+    phrase = "in the middle of all this"
+    rows = [(k, "".join(r.choice(string.ascii_letters) for _ in range(90)) + phrase + "".join(r.choice(string.ascii_letters) for _ in range(90))) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1][20:] + "x") for k in range(0, 1500, 100)]
+    monkeypatch.setattr(op10_suffixes, "HOT", 200)
+    df = docs(spark, rows)
+    got = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in op10_suffixes.remove_repeats(df).collect()}
+    assert all(got[k] == ([(0, len(t) - 1)] if k >= 2000 else []) for k, t in rows)
+    blocks = op10_suffixes.pack(df).collect()
+    hot = op10_suffixes.sieve(spark.createDataFrame(blocks), 6).where("hot <> X''").count()
+    assert 0 < hot < 20
+
+
 def test_near_dedup_keeps_different_texts_of_one_doc_id(spark, tmp_path):
     import corpus_pipeline as cp
 
