@@ -2,12 +2,12 @@
 
 Text is normalised bytewise: A-Z lower-cased; runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] are words (so
 any non-ASCII character is a word character). An item's windows are its runs of `window` words; an item
-of fewer words, but not none, is one window. The automaton's symbols are the numbers of the benchmark's words,
-two symbols a word, so that no node has more than 256 children; a window takes 26 nodes at most. It passes
-over the word numbers of each document once; ends of matches are word numbers, and are mapped from there to
-character spans of the original text.
+of fewer words, but not none, is one window. The automaton reads word numbers in place of letters: each of the
+benchmark's V words is a pair of symbols, of alphabets of their own of about V ** 0.5 symbols, so that nodes have few
+children, a window takes 26 nodes at most, and a match ends where a word ends. It passes over the words of each
+document once; ends of matches are word numbers, and are mapped from there to character spans of the original text.
 
-The benchmark's size is read first. Up to BLOCK_BYTES it makes one automaton (about 150 MB in a Python worker for
+The benchmark's size is read first. Up to BLOCK_BYTES it makes one automaton (about 250 MB in a Python worker for
 each MB), whose items are broadcast. Beyond, items are dealt by hash into blocks of about that size. Each block
 is a pass of its own that writes the hits it finds to the shared folder, so that a worker holds one automaton
 at a time; a last pass joins the hits with their documents.
@@ -21,6 +21,7 @@ keep, those named like a result column give way to it.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from traceloom.llm import common
 
 WINDOW = 13
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20  # of benchmark text
 SHARE = 20  # contaminated: n_hit * SHARE >= n_words, and n_hit > 0
 
 _TABLE = bytes(ord(c.lower()) if (c := chr(b)).isascii() and c.isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -42,42 +43,40 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
+FIRST = 0x100  # of the code points that stand for words; below a million of them, as 2 * base is small
+
+
+class _Symbols(dict):
+    def __missing__(self, word: bytes) -> str:
+        return "\x01\x01"  # in no window
+
+
 class Windows:
     """The automaton of some items (item id, text); each pattern's value: number of its words, and its items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         import ahocorasick
 
-        self.number: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         found: dict[tuple, set] = {}
         for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
+            w = [number.setdefault(x, len(number)) for x in words(text)]
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.shortest = min(map(len, found), default=0)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        base = max(1, math.isqrt(len(number)) + 1)
+        sign = [chr(FIRST + base + n // base) + chr(FIRST + n % base) for n in range(len(number))]
+        self.symbols = _Symbols(zip(number, sign))
+        self.automaton = ahocorasick.Automaton()
         for pattern, ids in found.items():
-            self.automaton.add_word(self.symbols(np.array(pattern)), (len(pattern), tuple(sorted(x for x in ids if x is not None))))
+            self.automaton.add_word("".join(sign[n] for n in pattern), (len(pattern), tuple(sorted(x for x in ids if x is not None))))
         self.automaton.make_automaton()
 
-    @staticmethod
-    def symbols(numbers: np.ndarray) -> tuple:
-        """Two symbols a word, of alphabets of their own: an ending on the second is an ending on a word. Numbers
-        from 1 << 16 on need more than 256 first symbols, which makes nodes larger but changes no match."""
-        return tuple(np.stack([256 + (numbers >> 8), numbers & 255], 1).reshape(-1).tolist())
-
     def hits(self, w: list[bytes]):
         """First word, past the last, and items of each match."""
-        if not self.shortest:
-            return
-        get = self.number.get
-        known = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-        edge = np.flatnonzero(np.diff(np.r_[False, known > 0, False]))
-        for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):  # no window has a word that no item has
-            if z - a >= self.shortest:
-                for end, (n, ids) in self.automaton.iter(self.symbols(known[a:z])):
-                    last = a + end // 2 + 1
-                    yield last - n, last, ids
+        if len(self.automaton):
+            for end, (n, ids) in self.automaton.iter("".join(map(self.symbols.__getitem__, w))):
+                last = end // 2 + 1
+                yield last - n, last, ids
 
 
 _built: dict[str, Windows] = {}
@@ -135,15 +134,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     if n_blocks > 1:
         return _in_blocks(rows, items, window, n_blocks)
     shared = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in items.collect()), key=repr))
-    return _marked(rows, lambda t, _: scan(t, _windows_of(shared.value, window)))
+
+    def prepare():
+        windows = _windows_of(shared.value, window)
+        return lambda t, _: scan(t, windows)
+
+    return _marked(rows, prepare)
 
 
-def _marked(rows: DataFrame, look, extra: int = 0) -> DataFrame:
-    """rows (columns to keep, __text, and `extra` more that look() takes) with the result columns."""
+def _marked(rows: DataFrame, prepare, extra: int = 0) -> DataFrame:
+    """rows (columns to keep, __text, and `extra` more) with the result columns. prepare() gives, once for a task, what
+    tells number of words, marks and items of a text and its extra columns."""
     width = len(rows.columns) - 1 - extra
 
     def over(batches):
         common.claim("decontamination", _built.clear)
+        look = prepare()
         for b in batches:
             n_words, n_hit, items, where = [], [], [], []
             for i, t in enumerate(b.column(width)):
@@ -191,7 +197,7 @@ def _in_blocks(rows: DataFrame, items: DataFrame, window: int, n_blocks: int) ->
         w = words(t)
         return len(w), marks(len(w), [h["start"] for h in told[0] or []], [h["end"] for h in told[0] or []]), set(told[1] or [])
 
-    return _marked(rows.join(per_row, "__row", "left").select(*rows.columns[:-1], "hits", "found"), look, 2)
+    return _marked(rows.join(per_row, "__row", "left").select(*rows.columns[:-1], "hits", "found"), lambda: look, 2)
 
 
 def is_contaminated() -> F.Column:
