@@ -29,9 +29,9 @@ DIM = 512
 FIT_ROWS = 2000
 UNKNOWN = "und"
 
-#: Signs of the categories No and Nl count as word characters in patterns, but are no letters.
-_NUMERALS = "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NON_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NON_LETTERS = re.compile(r"[\W\d_]+")
+#: By code point: signs of the categories No and Nl, which count as word characters in patterns, but are no letters.
+_NUMERAL = np.array([c.isalnum() and not c.isalpha() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))])
 _letters: dict[int, np.ndarray] = {}
 _grams: dict[int, int] = {}
 _rows = np.zeros((1024, DIM), np.int8)
@@ -76,6 +76,8 @@ def vector(text: str | None) -> np.ndarray | None:
     if not clean:
         return None
     codes = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if _NUMERAL[codes].any():
+        return vector("".join(" " if _NUMERAL[ord(c)] else c for c in clean))
     keys = codes[:-2] << 2 * BITS | codes[1:-1] << BITS | codes[2:]
     keys, n = np.unique(keys, return_counts=True)
     v = np.zeros(DIM, np.float32)
