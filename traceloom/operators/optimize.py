@@ -168,9 +168,10 @@ def selected(block, selector):
 
 
 def split_by_relevance(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """block, row, shown: of blocks with SPLIT_ROWS rows or more, the most relevant quarter stays in view."""
-    size = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") >= SPLIT_ROWS)
-    ranked = relevance.rank(rows.join(size.select("block"), "block", "left_semi"), queries)
-    keep = relevance.select(ranked, SPLIT_MOST).join(size, "block")
+    """block, row, shown: for queries of collections with SPLIT_ROWS rows or more, the most relevant quarter stays in view."""
+    size = rows.groupBy("collection").agg(F.count("*").alias("n")).where(F.col("n") >= SPLIT_ROWS)
+    rows = rows.join(size.select("collection"), "collection")
+    asked = queries.select("block", "collection").join(size, "collection")
+    keep = relevance.select(relevance.rank(rows, queries), SPLIT_MOST).join(asked, "block")
     keep = keep.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("score"), "row"))).where(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4))).select("block", "row", F.lit(True).alias("shown"))
-    return rows.join(size.select("block"), "block", "left_semi").join(keep, ["block", "row"], "left").select("block", "row", F.coalesce("shown", F.lit(False)).alias("shown"))
+    return rows.select("collection", "row").join(asked, "collection").join(keep, ["block", "row"], "left").select("block", "row", F.coalesce("shown", F.lit(False)).alias("shown"))

@@ -1,7 +1,8 @@
 """Relevance of rows to a query: BM25, feedback terms, trigram coverage, cosine; selection and rank metrics.
 
-Rows: block, row (its number), text. Queries: block, query. Everything is joined by block, so a block is one
-collection with its own statistics."""
+Rows: collection, row (its number), text. Queries: block, collection, query. Any number of queries may ask one collection:
+its texts are split into terms once, whatever their number, and only terms that some query of it has are
+exchanged. Without a column collection, a block is a collection of its own."""
 
 from __future__ import annotations
 
@@ -10,66 +11,82 @@ from pyspark.sql import functions as F
 
 from traceloom.functions import text as tx
 
+# Weights and bounds of the score.
 K1, B = 1.5, 0.75
 FEEDBACK_ROWS, FEEDBACK_TERMS, FEEDBACK_WEIGHT = 3, 8, 0.4
 TRIGRAM_WEIGHT, TRIGRAM_MIN = 0.6, 0.34
 SELECT_RATIO = 0.15
 
 
-def term_table(rows: DataFrame) -> DataFrame:
-    """block, row, term, tf, len, avg_len, n: with the collection's row count and mean length."""
-    words = rows.select("block", "row", tx.terms("text").alias("w")).withColumn("len", F.size("w"))
-    stats = words.groupBy("block").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    tf = words.select("block", "row", "len", F.explode("w").alias("term")).groupBy("block", "row", "len", "term").agg(F.count("*").alias("tf"))
-    return tf.join(F.broadcast(stats), "block")
+def _in_collections(df: DataFrame) -> DataFrame:
+    return df if "collection" in df.columns else df.withColumn("collection", F.col("block"))
+
+
+def _words(rows: DataFrame) -> DataFrame:
+    """collection, row, w (the text's terms), len."""
+    return _in_collections(rows).select("collection", "row", tx.terms("text").alias("w")).withColumn("len", F.size("w"))
+
+
+def hits(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """collection, row, term, tf, len, avg_len, n of the wanted terms (collection, term), with the collection's row count
+    and mean length."""
+    words = _words(rows)
+    stats = words.groupBy("collection").agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
+    found = words.select("collection", "row", "len", F.explode("w").alias("term")).join(wanted.select("collection", "term").distinct(), ["collection", "term"])
+    return found.groupBy("collection", "row", "len", "term").agg(F.count("*").alias("tf")).join(stats, "collection")
 
 
 def _idf(df, n):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def score_terms(table: DataFrame, weights: DataFrame) -> DataFrame:
-    """block, row, score of rows that have some weighted term (block, term, weight)."""
-    hits = table.join(weights, ["block", "term"])
-    df = hits.groupBy("block", "term").agg(F.count("*").alias("df"))
+def score_terms(found: DataFrame, weights: DataFrame) -> DataFrame:
+    """block, row, score of rows that have some weighted term (block, collection, term, weight)."""
+    df = found.groupBy("collection", "term").agg(F.count("*").alias("df"))
     tf = F.col("tf")
     part = F.col("weight") * _idf(F.col("df"), F.col("n")) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return hits.join(df, ["block", "term"]).groupBy("block", "row").agg(F.sum(part).alias("score"))
+    return found.join(df, ["collection", "term"]).join(weights, ["collection", "term"]).groupBy("block", "row").agg(F.sum(part).alias("score"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("block", F.explode(F.array_distinct(tx.terms("query"))).alias("term")).withColumn("weight", F.lit(1.0))
+    return _in_collections(queries).select("block", "collection", F.explode(F.array_distinct(tx.terms("query"))).alias("term")).withColumn("weight", F.lit(1.0))
 
 
 def bm25(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    return score_terms(term_table(rows), query_terms(queries))
+    own = query_terms(queries)
+    return score_terms(hits(rows, own), own)
 
 
-def feedback(table: DataFrame, base: DataFrame, own: DataFrame) -> DataFrame:
-    """Expansion terms (block, term, weight) of the best rows, by frequency there times rarity; ties by term."""
+def feedback(rows: DataFrame, base: DataFrame, own: DataFrame) -> DataFrame:
+    """Expansion terms (block, collection, term, weight) of the best rows, by frequency there times rarity; ties by term."""
     best = base.where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("score"), "row"))).where(f"r <= {FEEDBACK_ROWS}").select("block", "row")
-    tf = table.join(best, ["block", "row"], "left_semi").join(own.select("block", "term"), ["block", "term"], "left_anti").groupBy("block", "term").agg(F.sum("tf").alias("f"))
-    df = table.join(tf.select("block", "term"), ["block", "term"], "left_semi").groupBy("block", "term", "n").agg(F.count("*").alias("df"))
-    w = tf.join(df, ["block", "term"]).withColumn("w", F.col("f") * F.greatest(_idf(F.col("df"), F.col("n")), F.lit(0.0))).where("w > 0")
+    best = best.join(own.select("block", "collection").distinct(), "block")
+    tf = _words(rows).join(best, ["collection", "row"]).select("block", "collection", F.explode("w").alias("term")).groupBy("block", "collection", "term").agg(F.count("*").alias("f"))
+    tf = tf.join(own.select("block", "term"), ["block", "term"], "left_anti")
+    df = hits(rows, tf).groupBy("collection", "term", "n").agg(F.count("*").alias("df"))
+    w = tf.join(df, ["collection", "term"]).withColumn("w", F.col("f") * F.greatest(_idf(F.col("df"), F.col("n")), F.lit(0.0))).where("w > 0")
     top = w.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.desc("w"), "term"))).where(f"r <= {FEEDBACK_TERMS}")
-    most = F.greatest(F.max("w").over(Window.partitionBy("block")), F.lit(1e-9))
-    return top.select("block", "term", (FEEDBACK_WEIGHT * F.col("w") / most).alias("weight"))
+    most = F.greatest(F.max("w").over(Window.partitionBy("block")), F.lit(1e-9))  # of at most FEEDBACK_TERMS rows
+    return top.select("block", "collection", "term", (FEEDBACK_WEIGHT * F.col("w") / most).alias("weight"))
 
 
 def trigram_coverage(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """block, row, covered: share of the query's letter trigrams that the row has."""
-    q = queries.select("block", tx.trigrams(F.array_distinct(tx.terms("query"))).alias("q"))
-    r = rows.join(F.broadcast(q), "block").withColumn("t", tx.trigrams(tx.terms("text")))
-    return r.where(F.size("q") > 0).select("block", "row", (F.size(F.array_intersect("q", "t")) / F.size("q")).alias("covered"))
+    """block, row, covered: share of the query's letter trigrams that the row has. A row's trigrams are made once."""
+    q = _in_collections(queries).select("block", "collection", tx.trigrams(F.array_distinct(tx.terms("query"))).alias("q")).where(F.size("q") > 0)
+    one = q.select("block", "collection", F.size("q").alias("of"), F.explode("q").alias("gram"))
+    grams = _words(rows).select("collection", "row", F.explode(tx.trigrams("w")).alias("gram")).join(one, ["collection", "gram"])
+    return grams.groupBy("block", "row", "of").agg(F.count("*").alias("c")).select("block", "row", (F.col("c") / F.col("of")).alias("covered"))
 
 
 def rank(rows: DataFrame, queries: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
     """block, row, score. semantic (block, row, semantic) adds to the lexical score."""
-    table, own = term_table(rows), query_terms(queries)
-    base = score_terms(table, own)
-    full = score_terms(table, own.unionByName(feedback(table, base, own)))
+    own = query_terms(queries)
+    base = score_terms(hits(rows, own), own)
+    every = own.unionByName(feedback(rows, base, own))
+    full = score_terms(hits(rows, every), every)
     grams = trigram_coverage(rows, queries).where(F.col("covered") >= TRIGRAM_MIN).select("block", "row", (TRIGRAM_WEIGHT * F.col("covered")).alias("extra"))
-    out = rows.select("block", "row").join(full, ["block", "row"], "left").join(grams, ["block", "row"], "left")
+    pairs = _in_collections(rows).select("collection", "row").join(_in_collections(queries).select("block", "collection"), "collection").select("block", "row")
+    out = pairs.join(full, ["block", "row"], "left").join(grams, ["block", "row"], "left")
     score = F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))
     if semantic is not None:
         out, score = out.join(semantic, ["block", "row"], "left"), score + F.coalesce("semantic", F.lit(0.0))

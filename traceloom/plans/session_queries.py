@@ -184,9 +184,9 @@ bm AS (SELECT block, row, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) /
 
 
 def retrieval(spark, d):
-    q = ad.table(spark, d, "benchmark").select(F.col("item_id").alias("block"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"))
-    rows = ad.table(spark, d, "documents").join(F.broadcast(q.select("block", "source")), "source").select("block", F.col("doc_id").alias("row"), "text")
-    return rows, q.select("block", "query")
+    q = ad.table(spark, d, "benchmark").select(F.col("item_id").alias("block"), F.col("text").alias("query"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("collection"))
+    rows = ad.table(spark, d, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("row"), "text")
+    return rows.join(q.select("collection").distinct(), "collection"), q
 
 
 @query("f_bm25", f"WITH {_RET} SELECT block, row, round(score, 6) AS score FROM bm")
