@@ -5,7 +5,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from traceloom.functions import codecs, commands, previews, redact
+from traceloom.functions import commands, previews, redact
 from traceloom.functions import jsontext as js
 from traceloom.functions import text as tx
 from traceloom.operators import optimize, proof
@@ -30,9 +30,7 @@ def json_blocks(spark, d):
     return e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(rec))).alias("raw"))
 
 
-#: The SQL of f_leaves, f_select and f_detect_key is bound to these users; the other queries take all.
-SQL_USERS = "user_id < 200"
-JSON_BLOCKS = """jb AS (SELECT user_id, event_id, event_type, props FROM events WHERE user_id < 200)"""
+JSON_BLOCKS = """jb AS (SELECT user_id, event_id, event_type, props FROM events)"""
 
 
 @query("f_canonicalize", """WITH o AS (SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '","n":{"a":' || event_id % 7 || ',"b":[]}}' AS canonical FROM events) SELECT * FROM o""")
@@ -45,7 +43,7 @@ def _(spark, d):
 @query("f_leaves", f"WITH {JSON_BLOCKS} SELECT user_id, count(*) * 8 AS leaves FROM jb GROUP BY 1")
 def _(spark, d):
     n = _udf(lambda x: len(js.leaves(js.parse(x))), "long")
-    return json_blocks(spark, d).where(SQL_USERS).select("user_id", n("raw").alias("leaves"))
+    return json_blocks(spark, d).select("user_id", n("raw").alias("leaves"))
 
 
 @query("p_dup_keys", "SELECT event_id, event_id % 3 = 0 AS duplicate FROM events")
@@ -54,9 +52,9 @@ def _(spark, d):
     return ad.table(spark, d, "events").select("event_id", _udf(js.has_duplicate_keys, "boolean")(raw).alias("duplicate"))
 
 
-@query("f_select", "SELECT user_id, min_by(event_type, event_id) AS first_type FROM events WHERE user_id < 200 GROUP BY 1")
+@query("f_select", "SELECT user_id, min_by(event_type, event_id) AS first_type FROM events GROUP BY 1")
 def _(spark, d):
-    return json_blocks(spark, d).where(SQL_USERS).select("user_id", optimize.selected("raw", F.lit("[0]/event_type")).alias("first_type"))
+    return json_blocks(spark, d).select("user_id", optimize.selected("raw", F.lit("[0]/event_type")).alias("first_type"))
 
 
 @query("f_flatten", """SELECT event_id, '{"a.b":' || event_id || ',"c":"' || event_type || '"}' AS flat FROM events""")
@@ -65,9 +63,9 @@ def _(spark, d):
     return ad.table(spark, d, "events").select("event_id", _udf(lambda x: js.dump(js.flatten(js.parse(x))))(raw).alias("flat"))
 
 
-@query("f_detect_key", "SELECT DISTINCT user_id, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 1 THEN 'event_id' END AS key FROM events WHERE user_id < 200")
+@query("f_detect_key", "SELECT DISTINCT user_id, CASE WHEN count(*) OVER (PARTITION BY user_id) >= 1 THEN 'event_id' END AS key FROM events")
 def _(spark, d):
-    return json_blocks(spark, d).where(SQL_USERS).select("user_id", _udf(lambda x: js.unique_field(js.parse(x)))("raw").alias("key"))
+    return json_blocks(spark, d).select("user_id", _udf(lambda x: js.unique_field(js.parse(x)))("raw").alias("key"))
 
 
 @query("a_clmh")
@@ -86,26 +84,6 @@ def _(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", proof.tokens("text").cast("long").alias("bytes"), proof.approx_tokens("text").cast("long").alias("tokens"))
 
 
-def _codec_query(name, codec, structured):
-    def run(spark, d):
-        if structured:
-            rows = json_blocks(spark, d).select(F.col("user_id").alias("id"), "raw")
-            trip = _udf(lambda x: None if (w := codec.encode(v := js.parse(x))) is None else js.dump([js.Num(str(len(w.encode()))), codecs.decode(w) == js.canonical(v)]))
-        else:
-            rows = ad.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("html", ">", ">\n").alias("raw"))
-            trip = _udf(lambda x: None if (w := codec.encode(x)) is None else js.dump([js.Num(str(len(w.encode()))), codecs.decode(w) == x]))
-        got = rows.select("id", F.octet_length("raw").cast("long").alias("bytes"), trip("raw").alias("t"))
-        return got.select("id", "bytes", F.get_json_object("t", "$[0]").cast("long").alias("wire_bytes"), F.get_json_object("t", "$[1]").cast("boolean").alias("faithful"))
-
-    query(f"c_{name}")(run)
-
-
-for _n, _c in (codecs.STRUCTURED | codecs.MORE_STRUCTURED).items():
-    _codec_query(_n, _c, True)
-for _n, _c in (codecs.TEXT | codecs.MORE_TEXT).items():
-    _codec_query(_n, _c, False)
-
-
 @query("v_preview")
 def _(spark, d):
     kinds = _udf(lambda x: previews.preview(x)[0])
@@ -184,7 +162,10 @@ def drain(df, mode, spark):
     import uuid
 
     name = f"s{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp()
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -202,7 +183,6 @@ def _(spark, d):
 
 
 
-
 @query("p_reconcile", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND n % 7 > n % 5 THEN 'cache_bust' ELSE 'held' END AS verdict FROM (SELECT o_orderkey, o_orderstatus, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)")
 def _(spark, d):
     n = F.floor("o_totalprice").cast("long")
