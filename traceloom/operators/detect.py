@@ -5,7 +5,7 @@ Only segments with an original are judged. Findings: class, trace_id, turn_index
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as tx
@@ -77,8 +77,11 @@ def numbers_dropped(segments: DataFrame) -> DataFrame:
     keyed = keyed.select(*SEG, F.concat("key", F.lit(" = "), "value").alias("original"), F.concat("key", F.lit(" = "), "value", F.lit(" was dropped and "), "value", F.lit(" is referenced later")).alias("detail"))
     bare = rows.select(*SEG, "effective", F.posexplode(tx.numbers("original")).alias("pos", "value")).where(~F.col("effective").contains(F.col("value"))).select(*SEG, "pos", "value")
     bare = referenced_later(bare, segments)
-    before = Window.partitionBy("trace_id", "turn_index").orderBy("seg_index", "pos").rowsBetween(Window.unboundedPreceding, -1)  # the numbers of a turn
-    bare = bare.withColumn("earlier", F.collect_list("value").over(before)).where(~F.exists("earlier", lambda e: F.endswith(e, F.col("value"))))
+    # of each ending of a turn's numbers, where a number first has it: those before a number are never gathered
+    endings = F.transform(F.sequence(F.lit(1), F.length("value")), lambda i: F.expr("value").substr(i, F.length("value")))
+    place = F.struct("seg_index", "pos")
+    first = bare.select("trace_id", "turn_index", place.alias("place"), F.explode(endings).alias("value")).groupBy("trace_id", "turn_index", "value").agg(F.min("place").alias("first"))
+    bare = bare.join(first, ["trace_id", "turn_index", "value"]).where(F.col("first") >= place).drop("first")
     told = keyed.unionByName(numbers_changed(segments).select(*SEG, "original", "detail")).groupBy("trace_id", "turn_index").agg(F.collect_list(F.struct("seg_index", "original")).alias("told"))
     bare = bare.join(told, ["trace_id", "turn_index"], "left")
     known = F.exists("told", lambda x: (x["seg_index"] <= F.col("seg_index")) & F.endswith(x["original"], F.col("value")))

@@ -82,10 +82,14 @@ def downsample(points: DataFrame, most: int = CURVE_POINTS) -> DataFrame:
 
 
 def clamped_total(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and saved: the clamped running total at the end of each group's events in order of seq."""
-    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    s = rows.withColumn("s", F.sum("delta").over(w))
-    return s.groupBy(*keys).agg((F.sum("delta") - F.least(F.lit(0), F.min("s"))).alias("saved"))
+    """keys and saved: the clamped running total at the end of each group's events in order of seq. As in curve(), the
+    order is taken in buckets of seq, and a window over a group's bucket totals joins them."""
+    rows = rows.withColumn("bucket", F.floor(F.col("seq") / BUCKET_ROWS))
+    inside = Window.partitionBy(*keys, "bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.withColumn("s", F.sum("delta").over(inside)).groupBy(*keys, "bucket").agg(F.sum("delta").alias("total"), F.min("s").alias("least"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("low", F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("least"))
+    return ends.groupBy(*keys).agg((F.sum("total") - F.least(F.lit(0), F.min("low"))).alias("saved"))
 
 
 def period_starts(now_ms: int, offset_min: int = 0) -> dict[str, int]:
@@ -127,7 +131,7 @@ def with_rates(usage: DataFrame, rates: DataFrame, model: str = "model") -> Data
     models = usage.select(F.col(model).alias("m")).distinct()
     hits = models.join(F.broadcast(rates), models["m"].startswith(rates["prefix"]))
     best = hits.groupBy("m").agg(F.max_by(F.struct(*rates.columns), F.length("prefix")).alias("rate"))
-    return usage.join(F.broadcast(best), usage[model] == best["m"], "left").drop("m")
+    return usage.join(best, usage[model] == best["m"], "left").drop("m")
 
 
 USAGE = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens", "cache_write_1h_tokens"]

@@ -101,7 +101,7 @@ def predict(blocks: DataFrame, policy: DataFrame, threshold: float = THRESHOLD,
     bands = policy.where("band is not null").select("class", F.col("band").alias("__band"), F.col("rate").alias("__b"))
     classes = policy.where("class is not null and band is null").select("class", F.col("rate").alias("__c"))
     top = F.lit(prior) if prior is not None else F.lit(policy.where("class is null").select("rate").first()[0])
-    rows = blocks.withColumn("__band", tx.size_band("raw")).join(F.broadcast(bands), ["class", "__band"], "left").join(F.broadcast(classes), "class", "left")
+    rows = blocks.withColumn("__band", tx.size_band("raw")).join(bands, ["class", "__band"], "left").join(classes, "class", "left")
     rate = F.coalesce("__b", "__c", top)
     return rows.withColumn("predicted", rate).withColumn("allows_offload", rate < threshold).drop("__band", "__b", "__c")
 

@@ -11,9 +11,9 @@ KINDS = ("assistant", "user", "system")
 
 
 def lines(spark: SparkSession, root: str) -> DataFrame:
-    """file, line (its number by offset of the row in the file), value, of all *.jsonl below root."""
+    """file, line (a number that ascends along the rows of a file), value, of all *.jsonl below root."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
 
 
 def envelopes(rows: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def turns(env: DataFrame) -> DataFrame:
     """file, trace_id, turn_index, line, role, timestamp, model, sidechain, content and billing of files without drift.
 
     A request's usage is billed once a file, on its first record."""
-    good = env.where("status = 'ok'").join(F.broadcast(drifted(env).select("file")), "file", "left_anti")
+    good = env.where("status = 'ok'").join(drifted(env).select("file"), "file", "left_anti")
     stem = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
     u = F.col("e.message.usage")
     split = u["cache_creation"].isNotNull()
@@ -66,14 +66,15 @@ def turns(env: DataFrame) -> DataFrame:
 
 
 def segments(turn_rows: DataFrame) -> DataFrame:
-    """file, trace_id, turn_index, seg_index, pos, role, kind, tool_name, tool_use_id, original, effective."""
+    """file, trace_id, turn_index, seg_index, pos, role, kind, tool_name, tool_use_id, original, effective. pos: line and
+    seg_index, which order a file's segments."""
     blocks = F.from_json("content", model.CONTENT_BLOCKS)
     is_list = F.ltrim("content").startswith("[") & blocks.isNotNull()
     text = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "tool_use_id", "content")]))
     rows = turn_rows.select("file", "trace_id", "turn_index", "line", "role", F.posexplode(F.when(is_list, blocks).when(F.coalesce("content", F.lit("")) != "", text)).alias("seg_index", "b"))
     kind = F.when(F.col("b.type") == "text", "text").when(F.col("b.type") == "thinking", "thinking").when(F.col("b.type") == "tool_use", "tool-call").when(F.col("b.type") == "tool_result", "tool-result")
     effective = F.when(kind == "text", F.col("b.text")).when(kind == "thinking", F.col("b.thinking")).when(kind == "tool-call", F.coalesce("b.input", F.lit("null"))).otherwise(result_text(F.col("b.content")))
-    return rows.select("file", "trace_id", "turn_index", "seg_index", (F.col("line") * 10_000 + F.col("seg_index")).alias("pos"), "role", kind.alias("kind"), F.col("b.name").alias("tool_name"), F.coalesce("b.tool_use_id", "b.id").alias("tool_use_id"), F.lit(None).cast("string").alias("original"), F.coalesce(effective, F.lit("")).alias("effective")).where("kind is not null")
+    return rows.select("file", "trace_id", "turn_index", "seg_index", F.struct("line", "seg_index").alias("pos"), "role", kind.alias("kind"), F.col("b.name").alias("tool_name"), F.coalesce("b.tool_use_id", "b.id").alias("tool_use_id"), F.lit(None).cast("string").alias("original"), F.coalesce(effective, F.lit("")).alias("effective")).where("kind is not null")
 
 
 def stored_traces(spark: SparkSession, path: str) -> DataFrame:
