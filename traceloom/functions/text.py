@@ -4,6 +4,8 @@ Lengths are UTF-8 bytes. Caps keep the first items in order of the text."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,6 +125,10 @@ def marker_id(text, prefix: str = "offload") -> Column:
 _KEYED = r"""(\.?)([A-Za-z_][A-Za-z0-9_-]*+)(?:[ "']*[=:][ "']*([0-9]++(?:\.[0-9]++|(?!\.))))?+"""
 
 
+#: The same for Python code; findall gives (dot, key, number).
+KEYED = re.compile(_KEYED)
+
+
 def keyed_numbers(text, cap: int = CAP) -> Column:
     """array<struct<key, value>> of `key = 1.5` and `"key": 1`; keys that follow a dot don't count.
 

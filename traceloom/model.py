@@ -11,7 +11,7 @@ USAGE = """STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_
 cache_creation: STRUCT<ephemeral_5m_input_tokens: BIGINT, ephemeral_1h_input_tokens: BIGINT>>"""
 ENVELOPE = f"""type STRING, sessionId STRING, requestId STRING, timestamp STRING, isSidechain BOOLEAN,
 message STRUCT<role: STRING, model: STRING, content: STRING, usage: {USAGE}>"""
-CONTENT_BLOCKS = "ARRAY<STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, input: STRING, tool_use_id: STRING, content: STRING>>"
+CONTENT_BLOCKS = "ARRAY<STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, input: STRING, tool_use_id: STRING, content: VARIANT>>"
 
 SEGMENT = "STRUCT<kind: STRUCT<type: STRING, name: STRING, tool: STRING, id: STRING>, original: STRING, effective: STRING>"
 BILLING = "STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_tokens: BIGINT, cache_write_5m_tokens: BIGINT, cache_write_1h_tokens: BIGINT>"

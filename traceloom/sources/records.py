@@ -33,11 +33,12 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
 
 def tool_results(bodies: DataFrame) -> DataFrame:
     """captures of request bodies (body): tool_use_id and content of each tool result."""
-    from traceloom.sources.transcripts import result_text
+    from traceloom.sources.transcripts import as_text, is_list, result_text
 
-    messages = F.from_json(F.get_json_object("body", "$.messages"), "ARRAY<STRUCT<role: STRING, content: STRING>>")
-    blocks = F.from_json("m.content", "ARRAY<STRUCT<type: STRING, tool_use_id: STRING, content: STRING>>")
-    rows = bodies.select(*[c for c in bodies.columns if c != "body"], F.explode(messages).alias("m")).withColumn("b", F.explode(blocks)).where("b.type = 'tool_result' and b.tool_use_id is not null")
+    messages = F.from_json(F.get_json_object("body", "$.messages"), "ARRAY<STRUCT<role: STRING, content: VARIANT>>")
+    rows = bodies.select(*[c for c in bodies.columns if c != "body"], F.explode(messages).alias("m")).where(is_list(F.col("m.content")))
+    blocks = F.from_json(as_text(F.col("m.content")), "ARRAY<STRUCT<type: STRING, tool_use_id: STRING, content: VARIANT>>")
+    rows = rows.withColumn("b", F.explode(blocks)).where("b.type = 'tool_result' and b.tool_use_id is not null")
     return rows.withColumn("tool_use_id", F.col("b.tool_use_id")).withColumn("content", result_text(F.col("b.content"))).drop("m", "b")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.sources.transcripts import result_text
+from traceloom.sources.transcripts import as_text, is_list, result_text
 
 RESOLVER = "resolve"
 
@@ -24,34 +24,64 @@ def shape():
     return F.when(has("$.input") & ~has("$.messages"), "responses").when(has("$.messages") & (body.contains('"toolResult"') | body.contains('"toolUse"') | has("$.toolConfig")), "converse").when(has("$.messages") & (body.contains('"tool_call_id"') | body.contains('"tool_calls"')), "chat").when(has("$.messages"), "anthropic")
 
 
+ITEM = "role: STRING, type: STRING, call_id: STRING, name: STRING, output: STRING, content: VARIANT, tool_call_id: STRING, tool_calls: ARRAY<STRUCT<id: STRING, function: STRUCT<name: STRING>>>"
+PART = "type: STRING, id: STRING, name: STRING, tool_use_id: STRING, content: VARIANT, toolUse: STRUCT<toolUseId: STRING, name: STRING>, toolResult: STRUCT<toolUseId: STRING, content: STRING>"
+
+
 def items(requests: DataFrame) -> DataFrame:
-    """request_id, shape, pos, role, type, content (raw) and call id of each message or input item."""
+    """request_id, shape, pos, role, type, content (variant), call ids and calls of each message or input item."""
     rows = requests.withColumn("shape", shape()).where("shape is not null")
-    each = F.when(F.col("shape") == "responses", _array("$.input", "role: STRING, type: STRING, call_id: STRING, name: STRING, output: STRING, content: STRING, tool_call_id: STRING")).otherwise(_array("$.messages", "role: STRING, type: STRING, call_id: STRING, name: STRING, output: STRING, content: STRING, tool_call_id: STRING"))
+    each = F.when(F.col("shape") == "responses", _array("$.input", ITEM)).otherwise(_array("$.messages", ITEM))
     return rows.select("request_id", "shape", F.posexplode(each).alias("pos", "m")).select("request_id", "shape", "pos", "m.*")
 
 
+def _parts():
+    """The parts of a message with a list of them."""
+    content = F.col("content")
+    return F.when(is_list(content), F.from_json(as_text(content), f"ARRAY<STRUCT<{PART}>>"))
+
+
+def _only_text(content):
+    return F.coalesce(F.when(is_list(content), F.forall(F.from_json(as_text(content), "ARRAY<STRUCT<type: STRING>>"), lambda x: x["type"] == "text")).otherwise(F.lit(True)), F.lit(False))
+
+
 def blocks(requests: DataFrame) -> DataFrame:
-    """request_id, shape, pos, sub, tool_use_id, raw, age: tool outputs and how many model turns follow each."""
+    """request_id, shape, pos, sub, tool_use_id, raw, age (how many model turns follow) of each tool output, and plain:
+    whether text is all that it has, so that another text can stand for it."""
     rows = items(requests)
     model_turn = F.when(F.col("shape") == "responses", F.coalesce((F.col("role") == "assistant") | (F.col("type") == "function_call"), F.lit(False))).otherwise(F.coalesce(F.col("role") == "assistant", F.lit(False)))
     after = Window.partitionBy("request_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumn("age", F.coalesce(F.sum(model_turn.cast("long")).over(after), F.lit(0)))
-    parts = "ARRAY<STRUCT<type: STRING, tool_use_id: STRING, content: STRING, toolResult: STRUCT<toolUseId: STRING, content: STRING>>>"
-    inner = rows.where("shape in ('anthropic', 'converse')").select("request_id", "shape", "pos", "age", F.posexplode(F.from_json("content", parts)).alias("sub", "b"))
-    a = inner.where("shape = 'anthropic' and b.type = 'tool_result'").select("request_id", "shape", "pos", "sub", F.col("b.tool_use_id").alias("tool_use_id"), result_text(F.col("b.content")).alias("raw"), "age")
-    texts = F.from_json("b.toolResult.content", "ARRAY<STRUCT<text: STRING>>")
-    c = inner.where("shape = 'converse' and b.toolResult is not null").select("request_id", "shape", "pos", "sub", F.col("b.toolResult.toolUseId").alias("tool_use_id"), F.array_join(F.transform(texts, lambda x: F.coalesce(x["text"], F.lit(""))), "\n").alias("raw"), "age")
-    one = rows.withColumn("sub", F.lit(0))
-    t = one.where("shape = 'chat' and role = 'tool'").select("request_id", "shape", "pos", "sub", F.col("tool_call_id").alias("tool_use_id"), result_text(F.col("content")).alias("raw"), "age")
-    r = one.where("shape = 'responses' and type = 'function_call_output'").select("request_id", "shape", "pos", "sub", F.col("call_id").alias("tool_use_id"), F.coalesce("output", F.lit("")).alias("raw"), "age")
-    return a.unionByName(c).unionByName(t).unionByName(r)
+
+    told = lambda sub, id_, raw, plain: F.struct(sub.cast("int").alias("sub"), id_.alias("tool_use_id"), raw.alias("raw"), plain.alias("plain"))
+    texts = lambda p: F.from_json(p["toolResult"]["content"], "ARRAY<STRUCT<text: STRING>>")
+    parts = F.transform(_parts(), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+    a = F.transform(F.filter(parts, lambda x: x["p"]["type"] == "tool_result"), lambda x: told(x["i"], x["p"]["tool_use_id"], result_text(x["p"]["content"]), _only_text(x["p"]["content"])))
+    joined = lambda p: F.coalesce(F.array_join(F.transform(texts(p), lambda t: F.coalesce(t["text"], F.lit(""))), "\n"), F.lit(""))
+    c = F.transform(F.filter(parts, lambda x: x["p"]["toolResult"].isNotNull()), lambda x: told(x["i"], x["p"]["toolResult"]["toolUseId"], joined(x["p"]), F.coalesce(F.forall(texts(x["p"]), lambda t: t["text"].isNotNull()), F.lit(False))))
+    t = F.array(told(F.lit(0), F.col("tool_call_id"), result_text(F.col("content")), _only_text(F.col("content"))))
+    r = F.array(told(F.lit(0), F.col("call_id"), F.coalesce("output", F.lit("")), F.lit(True)))
+    found = F.when(F.col("shape") == "anthropic", a).when(F.col("shape") == "converse", c).when((F.col("shape") == "chat") & (F.col("role") == "tool"), t).when((F.col("shape") == "responses") & (F.col("type") == "function_call_output"), r)
+    return rows.select("request_id", "shape", "pos", "age", F.explode(found).alias("b")).select("request_id", "shape", "pos", "b.sub", "b.tool_use_id", "b.raw", "age", "b.plain")
+
+
+def calls(requests: DataFrame) -> DataFrame:
+    """request_id, tool_use_id and name of the tool calls that a request holds."""
+    told = lambda id_, name: F.struct(id_.alias("tool_use_id"), name.alias("name"))
+    a = F.transform(F.filter(_parts(), lambda p: p["type"] == "tool_use"), lambda p: told(p["id"], p["name"]))
+    c = F.transform(F.filter(_parts(), lambda p: p["toolUse"].isNotNull()), lambda p: told(p["toolUse"]["toolUseId"], p["toolUse"]["name"]))
+    t = F.transform("tool_calls", lambda x: told(x["id"], x["function"]["name"]))
+    r = F.array(told(F.col("call_id"), F.col("name")))
+    found = F.when(F.col("shape") == "anthropic", a).when(F.col("shape") == "converse", c).when(F.col("shape") == "chat", t).when((F.col("shape") == "responses") & (F.col("type") == "function_call"), r)
+    return items(requests).select("request_id", F.explode(found).alias("c")).select("request_id", "c.*")
 
 
 def latest_query(requests: DataFrame) -> DataFrame:
     """request_id and the newest user text that isn't blank."""
     rows = items(requests).where("role = 'user'")
-    text = F.when(F.ltrim("content").startswith("["), F.element_at(F.filter(F.transform(F.from_json("content", "ARRAY<STRUCT<text: STRING>>"), lambda x: x["text"]), lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), 1)).otherwise(F.col("content"))
+    content = F.col("content")
+    parts = F.transform(F.from_json(as_text(content), "ARRAY<STRUCT<text: STRING>>"), lambda x: x["text"])
+    text = F.when(is_list(content), F.get(F.filter(parts, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), 0)).otherwise(as_text(content))
     told = rows.withColumn("text", text).where("trim(coalesce(text, '')) <> ''")
     return told.groupBy("request_id").agg(F.max_by("text", "pos").alias("query"))
 

@@ -38,12 +38,22 @@ def drifted(env: DataFrame) -> DataFrame:
     return env.where("status = 'drift'").groupBy("file").agg(F.min("line").alias("line"))
 
 
+def is_list(content):
+    """Whether a variant is a list; a string that reads like one is not."""
+    return F.coalesce(F.schema_of_variant(content).startswith("ARRAY"), F.lit(False))
+
+
+def as_text(content):
+    """A variant's string, or the JSON text of any other value."""
+    return F.try_variant_get(content, "$", "string")
+
+
 def result_text(content):
-    """Text of a tool result's content: a string, or its text blocks by lines; null is empty."""
-    blocks = F.from_json(content, "ARRAY<STRUCT<type: STRING, text: STRING>>")
+    """Text of a tool result's content (a variant): a string, or its text blocks by lines; null is empty."""
+    blocks = F.from_json(as_text(content), "ARRAY<STRUCT<type: STRING, text: STRING>>")
     part = lambda b: F.when(b["type"] == "text", F.coalesce(b["text"], F.lit(""))).when(b["type"].isin("image", "document"), F.concat(F.lit("["), b["type"], F.lit("]")))
     joined = F.array_join(F.filter(F.transform(blocks, part), lambda x: x.isNotNull()), "\n")
-    return F.when(content.isNull(), "").when(F.ltrim(content).startswith("["), joined).otherwise(content)
+    return F.coalesce(F.when(is_list(content), joined).otherwise(as_text(content)), F.lit(""))
 
 
 def turns(env: DataFrame) -> DataFrame:
@@ -69,9 +79,9 @@ def segments(turn_rows: DataFrame) -> DataFrame:
     """file, trace_id, turn_index, seg_index, pos, role, kind, tool_name, tool_use_id, original, effective. pos: line and
     seg_index, which order a file's segments."""
     blocks = F.from_json("content", model.CONTENT_BLOCKS)
-    is_list = F.ltrim("content").startswith("[") & blocks.isNotNull()
-    text = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "tool_use_id", "content")]))
-    rows = turn_rows.select("file", "trace_id", "turn_index", "line", "role", F.posexplode(F.when(is_list, blocks).when(F.coalesce("content", F.lit("")) != "", text)).alias("seg_index", "b"))
+    listed = F.ltrim("content").startswith("[") & blocks.isNotNull()
+    text = F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"), *[F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "input", "tool_use_id")], F.lit(None).cast("variant").alias("content")))
+    rows = turn_rows.select("file", "trace_id", "turn_index", "line", "role", F.posexplode(F.when(listed, blocks).when(F.coalesce("content", F.lit("")) != "", text)).alias("seg_index", "b"))
     kind = F.when(F.col("b.type") == "text", "text").when(F.col("b.type") == "thinking", "thinking").when(F.col("b.type") == "tool_use", "tool-call").when(F.col("b.type") == "tool_result", "tool-result")
     effective = F.when(kind == "text", F.col("b.text")).when(kind == "thinking", F.col("b.thinking")).when(kind == "tool-call", F.coalesce("b.input", F.lit("null"))).otherwise(result_text(F.col("b.content")))
     return rows.select("file", "trace_id", "turn_index", "seg_index", F.struct("line", "seg_index").alias("pos"), "role", kind.alias("kind"), F.col("b.name").alias("tool_name"), F.coalesce("b.tool_use_id", "b.id").alias("tool_use_id"), F.lit(None).cast("string").alias("original"), F.coalesce(effective, F.lit("")).alias("effective")).where("kind is not null")
