@@ -22,7 +22,7 @@ REOPEN_PRIOR = 0.45
 SPLIT_ROWS, SPLIT_MOST = 8, 24
 TTL_MS, LEAST_STORED = 24 * 3_600_000, 512
 
-CANDIDATE = "struct<codec: string, kind: string, wire: string, faithful: boolean, stable: boolean>"
+CANDIDATE = "struct<codec: string, kind: string, wire: string, faithful: boolean, stable: boolean, same_numbers: boolean>"
 PROBE = f"struct<is_json: boolean, duplicate_keys: boolean, canonical: string, atoms: bigint, preview_kind: string, preview: string, worth_storing: boolean, candidates: array<{CANDIDATE}>>"
 
 
@@ -36,6 +36,21 @@ class Config:
     extra: dict = field(default_factory=dict)
 
 
+def _single(text: str) -> dict[str, str]:
+    """Key and number of the keys that have one number only."""
+    found: dict[str, set] = {}
+    for dot, key, value in tx.KEYED.findall(text):
+        if value and not dot:
+            found.setdefault(key, set()).add(value)
+    return {k: min(v) for k, v in found.items() if len(v) == 1}
+
+
+def _same_numbers(raw: str, wire: str) -> bool:
+    """A wire may change no number under a key that has one number in each of the two."""
+    told = _single(wire)
+    return all(told.get(k, v) == v for k, v in _single(raw).items()) if told else True
+
+
 def _probe(raw: str, config: Config) -> dict:
     value, is_json = js.try_parse(raw)
     structured = is_json and not js.is_scalar(value)
@@ -64,7 +79,7 @@ def _probe(raw: str, config: Config) -> dict:
     kind, shown = previews.preview(canonical)
     return {
         "is_json": is_json, "duplicate_keys": js.has_duplicate_keys(raw), "canonical": canonical, "atoms": len(js.leaves(value)) if is_json else len(raw.split()), "preview_kind": kind, "preview": shown,
-        "worth_storing": previews.worth_storing(canonical), "candidates": [dict(zip(("codec", "kind", "wire", "faithful", "stable"), x)) for x in found],
+        "worth_storing": previews.worth_storing(canonical), "candidates": [dict(zip(("codec", "kind", "wire", "faithful", "stable", "same_numbers"), (*x, x[1] == "structured" or _same_numbers(raw, x[2])))) for x in found],
     }
 
 
@@ -90,10 +105,9 @@ def content_id(text):
 
 
 def _detector_clean(raw, wire):
-    """A wire may claim no location and change no number under a key that the block has once."""
+    """A wire may claim no location that the block lacks."""
     said, true = tx.grep_claims(wire), tx.grep_claims(raw)
-    invented = F.exists(said, lambda c: ~F.exists(true, lambda t: (t["location"] == c["location"]) & (t["content"] == c["content"])))
-    return ~invented
+    return ~F.exists(said, lambda c: ~F.exists(true, lambda t: (t["location"] == c["location"]) & (t["content"] == c["content"])))
 
 
 def candidates(blocks: DataFrame, config: Config = Config()) -> DataFrame:
@@ -107,9 +121,11 @@ def candidates(blocks: DataFrame, config: Config = Config()) -> DataFrame:
 def choose(found: DataFrame, config: Config = Config()) -> DataFrame:
     """Of candidates(): raw, outcome (inline, offload, verbatim), codec, wire or stub, marker id, kept_reason, units and sent.
 
+    found may say may_store for each row: false keeps it from being stored away.
+
     Of admitted, cheaper and clean wires the least (units, codec, wire) wins. A stub replaces it if storing is on,
     worth it, and - in auto - cheaper even when the prior share of blocks comes back."""
-    c = F.filter("candidates", lambda x: x["faithful"] & x["stable"] & (F.octet_length(x["wire"]) < F.col("units")) & ((x["kind"] == "structured") | _detector_clean(F.col("raw"), x["wire"])))
+    c = F.filter("candidates", lambda x: x["faithful"] & x["stable"] & (F.octet_length(x["wire"]) < F.col("units")) & ((x["kind"] == "structured") | (x["same_numbers"] & _detector_clean(F.col("raw"), x["wire"]))))
     best = F.array_min(F.transform(c, lambda x: F.struct(F.octet_length(x["wire"]).alias("units"), x["codec"].alias("codec"), x["wire"].alias("wire"))))
     stub = F.concat(F.lit("[offloaded, "), F.when(F.col("preview_kind") == "head", F.lit("preview:")).otherwise(F.col("preview_kind")), F.lit("]\n"), "preview", F.lit(f"\n<<{MARKER}:"), "id", F.lit(">>"))
     rows = found.withColumn("best", best).withColumn("stub", stub).withColumn("stub_units", F.octet_length("stub"))
@@ -118,6 +134,9 @@ def choose(found: DataFrame, config: Config = Config()) -> DataFrame:
     priced = F.lit(config.input_rate is not None)
     blocked = F.col("duplicate_keys")
     stored = F.lit(config.offload != "off") & (F.col("units") >= LEAST_STORED) & F.col("worth_storing") & (F.col("stub_units") < F.col("units")) & wins & priced & ~blocked
+    given = ["may_store"] if "may_store" in found.columns else []
+    if given:
+        stored &= F.col("may_store")
     shipped = F.col("best").isNotNull() & priced & ~blocked
     n = F.size("candidates")
     reason = F.when(blocked, "duplicate_keys").when(n == 0, F.when(~F.col("worth_storing"), "thin_preview").otherwise("not_applicable")).when(~F.exists("candidates", lambda x: x["faithful"]), "refused_witness").when(~F.exists("candidates", lambda x: x["faithful"] & x["stable"]), "refused_idempotency")
@@ -126,7 +145,7 @@ def choose(found: DataFrame, config: Config = Config()) -> DataFrame:
     wire = F.when(stored, F.col("stub")).when(shipped, F.col("best.wire")).otherwise(F.col("raw"))
     return rows.select(
         "raw", "canonical", "certificate", "atoms", outcome.alias("outcome"), F.when(stored, F.col("preview_kind")).when(shipped, F.col("best.codec")).alias("codec"), wire.alias("wire"), F.when(stored, F.col("id")).alias("id"),
-        F.when(~stored & ~shipped, reason).alias("kept_reason"), "units", F.octet_length(wire).alias("sent"),
+        F.when(~stored & ~shipped, reason).alias("kept_reason"), "units", F.octet_length(wire).alias("sent"), *given,
     )
 
 
