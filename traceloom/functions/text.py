@@ -138,3 +138,10 @@ def keyed_numbers(text, cap: int = CAP) -> Column:
     got = [F.regexp_extract_all(t, F.lit(_KEYED), F.lit(i)) for i in (1, 2, 3)]
     rows = F.filter(F.arrays_zip(got[0].alias("dot"), got[1].alias("key"), got[2].alias("value")), lambda x: (x["dot"] == "") & (x["value"] != ""))
     return F.slice(F.transform(rows, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), 1, cap)
+
+
+def dominant_width(text, least: int = 2) -> Column:
+    """The number of words that most lines have, among lines of `least` words or more; of equals the smaller; else null."""
+    widths = F.filter(F.transform(lines(text), lambda x: F.size(F.regexp_extract_all(x, F.lit(r"(\S+)"), F.lit(1)))), lambda n: n >= least)
+    counted = F.transform(F.array_distinct(widths), lambda n: F.struct(F.size(F.filter(widths, lambda m: m == n)).alias("lines"), (-n).alias("n")))
+    return -F.array_max(counted)["n"]

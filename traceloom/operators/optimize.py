@@ -51,6 +51,11 @@ def _same_numbers(raw: str, wire: str) -> bool:
     return all(told.get(k, v) == v for k, v in _single(raw).items()) if told else True
 
 
+def _canonical(raw: str) -> str:
+    value, ok = js.try_parse(raw)
+    return js.canonical(value) if ok else raw
+
+
 def _probe(raw: str, config: Config) -> dict:
     value, is_json = js.try_parse(raw)
     structured = is_json and not js.is_scalar(value)
@@ -99,6 +104,22 @@ def decoded(wire):
     return run(wire)
 
 
+def certify(raw):
+    """What a wire of this block can be held against by anyone, without the block: the hash of its canonical form."""
+
+    @F.pandas_udf("string")
+    def canonical(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else _canonical(x))
+
+    return F.sha2(canonical(raw).cast("binary"), 256)
+
+
+def verified(wire, certificate):
+    """Whether a wire holds the certified block. One with a marker names it by the first 16 digits; any other decodes to it."""
+    named = tx.marker_id(wire)
+    return F.when(named != "", F.startswith(certificate, F.lower(named))).otherwise(certify(decoded(wire)) == certificate)
+
+
 def content_id(text):
     """16 hex digits of what the block holds."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

@@ -126,3 +126,9 @@ def richness(pairs: DataFrame, keys: list[str]) -> DataFrame:
     every = pairs.select(*keys).join(out, keys, "left")
     share = F.when(F.col("__t") > 0, F.col("__k") / F.col("__t")).otherwise(1.0)
     return every.select(*keys, F.coalesce("atoms", F.lit(0)).alias("atoms"), F.coalesce("kept", F.lit(0)).alias("kept"), F.round(share, 6).alias("retained"))
+
+
+def by_class(outcomes: DataFrame) -> DataFrame:
+    """tally() of the classes alone, with place: from 1, the class with most raw first, then by name. Classes are few."""
+    rows = tally(outcomes).where("class is not null")
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("raw"), "class")))

@@ -111,6 +111,12 @@ def platform(headers: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.groupBy("request_id").agg(F.min_by("label", "n").alias("platform"))
 
 
+def tenant(headers: DataFrame, name: str = "x-tenant") -> DataFrame:
+    """request_id and the tenant that the header names; empty without one. Of several spellings the least value counts."""
+    said = F.transform(F.map_entries("headers"), lambda e: F.when(F.lower(e["key"]) == name.lower(), F.trim(e["value"])))
+    return headers.select("request_id", F.coalesce(F.array_min(F.filter(said, lambda v: v != "")), F.lit("")).alias("tenant"))
+
+
 def stats(outcomes: DataFrame) -> DataFrame:
     """Per request: blocks rewritten, first seen and kept, tokens before and after, the codecs used."""
     done = F.col("outcome") != "verbatim"
