@@ -240,3 +240,31 @@ def test_relevance_split_takes_long_and_null_texts_and_all_items(spark, tmp_path
     spark.createDataFrame([(3, "plain"), (63, "zebra crossing")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {(r["block"], r["shown"]): r["count"] for r in catalog.QUERIES["o_relevance_split"](spark, str(tmp_path)).collect()}
     assert got == {(3, True): 2, (3, False): 8, (63, True): 1, (63, False): 9}
+
+
+def test_richness_of_pairs_under_one_key_and_without_one(spark):
+    from collections import Counter
+    from math import log2
+
+    from traceloom.operators import reopen
+
+    schema = "a long, b int, original string, available string"
+    alone = [(1, 0, "alpha1 alpha1 (beta22) gamma33 tiny", "alpha1 xbeta22x"), (2, 0, "", ""), (3, 0, None, None), (4, 0, "single1 single1", ""), (5, 0, "nothing6 seen77", None), (9, 0, "inside1 inside1\0x abcdef (abcdef) zz-inside1 inside", "<b>xinside1\0xx</b> (abcdef)")]
+    shared = [(6, 1, "first1 common1 common1", "first1"), (6, 1, "second2 common1", "first1 second2 common1"), (6, 1, None, None), (7, 1, "", ""), (7, 1, "", "")]
+    keyless = [(None, 0, "lonely1 words22", "lonely1"), (None, 0, "lonely1 words22", "lonely1"), (8, None, "lonely1", "")]
+
+    def brute(rows):
+        out = []
+        for a, b, *_ in rows:
+            words = [(w.strip("()"), v or "") for x, y, t, v in rows if None not in (a, b) and (x, y) == (a, b) for w in (t or "").split() if len(w.strip("()")) >= 6]
+            n, has = Counter(w for w, _ in words), {w for w, v in words if w in v}
+            t, k = sum(-log2(c / len(words)) for c in n.values()), sum(-log2(c / len(words)) for w, c in n.items() if w in has)
+            out.append((a, b, len(n), len(has), round(k / t, 6) if t > 0 else 1.0))
+        return sorted(out, key=repr)
+
+    for rows in (alone, alone + shared, alone + shared + keyless):
+        got = reopen.richness(spark.createDataFrame(rows, schema), ["a", "b"])
+        assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+    # pairs with keys of their own are counted where they are
+    got = reopen.richness(spark.createDataFrame(alone, schema), ["a", "b"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

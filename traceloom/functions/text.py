@@ -54,10 +54,20 @@ def grep_claims(text, cap: int = CAP) -> Column:
     return F.slice(claims, 1, cap)
 
 
+def words(text) -> Column:
+    """What stands between white space, in order; an empty text is one empty word."""
+    return F.split(_col(text), r"(?U)\s+")
+
+
+def trimmed(word) -> Column:
+    """A word without outer marks."""
+    return F.regexp_replace(_col(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
 def significant(text) -> Column:
     """Words without outer marks, of six bytes or more, in order."""
-    words = F.split(_col(text), r"(?U)\s+")
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: F.octet_length(w) >= MIN_TOKEN)
+    long = lambda ws: F.filter(ws, lambda w: F.octet_length(w) >= MIN_TOKEN)
+    return long(F.transform(long(words(text)), trimmed))
 
 
 def residual(body_tokens, preview_tokens) -> Column:

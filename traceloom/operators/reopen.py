@@ -6,12 +6,13 @@ turn before any other turn supplies it again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions import text as tx
 
 THRESHOLD = 0.4
+FEW_KEYS = 100_000  # a list of so many keys is broadcast
 
 
 def tokens(turns: DataFrame) -> DataFrame:
@@ -115,17 +116,79 @@ def cache_savings(blocks: DataFrame, input_rate: float, read_rate: float) -> Dat
     )
 
 
+def _let(value, f) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _counted(original, available) -> Column:
+    """array<struct<tok, c, has>>: the distinct words of a text, how often each stands there, whether available contains it.
+
+    No word has white space, so it is looked for in the distinct words of available, first as one of them. A word that
+    available lacks is put among the sorted words once more with a zero byte after it: no other string lies between."""
+    lacks = lambda x: x.endswith("\0")  # noqa: E731 - a significant word ends with a letter or number
+
+    def marked(r):
+        seen = F.struct(F.transform(r["v"], tx.trimmed).alias("whole"), F.array_join(F.filter(r["v"], lambda v: F.octet_length(v) > tx.MIN_TOKEN), " ").alias("longer"))
+        lost = lambda s: F.filter(F.array_except(r["w"], s["whole"]), lambda x: ~s["longer"].contains(x))
+        return _let(seen, lambda s: F.sort_array(F.concat(r["w"], F.transform(lost(s), lambda x: F.concat(x, F.lit("\0"))))))
+
+    def runs(w):
+        begins = F.filter(F.transform(w, lambda x, i: F.when(~lacks(x) & ((i == 0) | (x != F.get(w, i - 1))), i)), lambda i: i.isNotNull())
+
+        def one(at, i, j):
+            end = F.coalesce(F.get(at, j + 1), F.size(w))
+            lost = lacks(F.get(w, end - 1))
+            return F.struct(F.get(w, i).alias("tok"), (end - i - lost.cast("int")).cast("long").alias("c"), (~lost).alias("has"))
+
+        return _let(begins, lambda at: F.transform(at, lambda i, j: one(at, i, j)))
+
+    long = F.filter(F.array_distinct(tx.words(available)), lambda v: F.octet_length(v) >= tx.MIN_TOKEN)
+    both = F.struct(tx.significant(original).alias("w"), F.coalesce(long, F.array().cast("array<string>")).alias("v"))
+    return _let(_let(both, marked), runs)
+
+
 def richness(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per pair (original, available): distinct words, those still contained, and their share weighted by rarity."""
-    words = pairs.select(*keys, "available", F.explode(tx.significant("original")).alias("tok"))
-    counts = words.groupBy(*keys, "tok").agg(F.count("*").alias("c"), F.first("available").alias("available"))
-    total = words.groupBy(*keys).agg(F.count("*").alias("n"))
+    """Per pair (original, available): distinct words, those still contained, and their share weighted by rarity.
+
+    A pair is counted inside its row, so no text and no word is exchanged. Pairs under one key count as one text, and
+    give a row each: only their words are exchanged, once the keys' counts have shown that there are any. A pair
+    without a key has no words."""
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+
+    def weighed(words):
+        n = F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc + x["c"])
+
+        def totals(n):
+            start = F.struct(F.lit(0).cast("long").alias("atoms"), F.lit(0).cast("long").alias("kept"), F.lit(0.0).alias("t"), F.lit(0.0).alias("k"))
+
+            def add(acc, x):
+                w = -F.log2(x["c"] / n)
+                return F.struct((acc["atoms"] + 1).alias("atoms"), (acc["kept"] + x["has"].cast("long")).alias("kept"), (acc["t"] + w).alias("t"), (acc["k"] + F.when(x["has"], w).otherwise(0.0)).alias("k"))
+
+            return F.aggregate(words, start, add)
+
+        return _let(n, totals)
+
+    def finished(df, s):
+        share = F.when(F.col(f"{s}t") > 0, F.col(f"{s}k") / F.col(f"{s}t")).otherwise(1.0)
+        return df.select(*keys, F.coalesce(f"{s}atoms", F.lit(0)).alias("atoms"), F.coalesce(f"{s}kept", F.lit(0)).alias("kept"), F.round(share, 6).alias("retained"))
+
+    here = pairs.select(*keys, F.when(known, _let(_counted(F.col("original"), F.col("available")), weighed)).alias("s"))
+    repeated = pairs.where(known).groupBy(*keys).agg(F.count("*").alias("m")).where("m > 1")
+    if not (n := repeated.count()):
+        return finished(here, "s.")
+    single = here.groupBy(*keys).agg(F.count("*").alias("m"), F.first("s").alias("s")).where(known & (F.col("m") == 1))
+    few = F.broadcast(repeated.select(*keys)) if n <= FEW_KEYS else repeated.select(*keys)
+    words = pairs.select(*keys, _counted(F.col("original"), F.col("available")).alias("words")).join(few, keys).select(*keys, F.inline("words"))
+    counts = words.groupBy(*keys, "tok").agg(F.sum("c").alias("c"), F.bool_or("has").alias("has"))
     w = -F.log2(F.col("c") / F.col("n"))
-    has = F.col("available").contains(F.col("tok"))
-    out = counts.join(total, keys).groupBy(*keys).agg(F.count("*").alias("atoms"), F.count_if(has).alias("kept"), F.sum(w).alias("__t"), F.sum(F.when(has, w).otherwise(0.0)).alias("__k"))
-    every = pairs.select(*keys).join(out, keys, "left")
-    share = F.when(F.col("__t") > 0, F.col("__k") / F.col("__t")).otherwise(1.0)
-    return every.select(*keys, F.coalesce("atoms", F.lit(0)).alias("atoms"), F.coalesce("kept", F.lit(0)).alias("kept"), F.round(share, 6).alias("retained"))
+    sums = counts.join(counts.groupBy(*keys).agg(F.sum("c").alias("n")), keys).groupBy(*keys)
+    merged = sums.agg(F.count("*").alias("atoms"), F.count_if("has").alias("kept"), F.sum(w).alias("t"), F.sum(F.when(F.col("has"), w).otherwise(0.0)).alias("k"))
+    rows = repeated.join(merged, keys, "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    return finished(here.where(~known), "s.").unionByName(finished(single, "s.")).unionByName(finished(rows, ""))
 
 
 def by_class(outcomes: DataFrame) -> DataFrame:
