@@ -295,6 +295,22 @@ def test_language(spark):
     assert all(0 <= x["score"] <= 1 for x in got.values())
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    r = random.Random(9)
+    rows = [(i, f"{word(r)} {word(r)}", l) for i in range(2600) for l in ("aa", "bb")[: 1 + (i < 40)]] + [(None, "no key", "aa"), (7, "12", "bb"), (8, None, "bb"), (9, "no label", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    vectors = {l: [v for _, t, x in rows if x == l and (v := op7_language.vector(t)) is not None] for l in ("aa", "bb")}
+    unit = {l: (s := np.sum(vs, 0, np.float64)) / np.linalg.norm(s) for l, vs in vectors.items()}
+    mean = (unit["aa"] + unit["bb"]) / 2
+    prototypes = op7_language.fit(df)
+    assert sorted(prototypes) == ["aa", "bb"]
+    assert all(np.allclose(prototypes[l], (unit[l] - mean) / np.linalg.norm(unit[l] - mean), atol=1e-4) for l in unit)
+    told = op7_language.predict(df, prototypes, keep=["lang"])
+    cosines = sorted(x["cosine"] for x in told.collect() if x["lang"] and x["lang_pred"] != "und")
+    assert len(cosines) == 2641 and op7_language.least_cosine(told) == cosines[26] / 2
+    assert op7_language.least_cosine(told.where("lang is null")) == 0.0
+
+
 def test_vectors_are_bound_and_bundled():
     v = op7_language.vector("ab")
     raw = sum(np.roll(op7_language.letter(ord(a)), 2).astype(float) * np.roll(op7_language.letter(ord(b)), 1) * op7_language.letter(ord(c)) for a, b, c in (" ab", "ab "))

@@ -6,9 +6,8 @@ vector bundles (sums) those of its trigrams over lower-cased words, with a blank
 compared by cosine with language prototypes, which bundle the unit vectors of labelled documents, less
 the mean over all languages.
 
-The fit takes at most FIT_ROWS labelled rows for each language, those with the least hash of key and
-text; labels come from any string column. Texts that are null or have no letter give `und`, score 0.
-A letter is a character of category L. Ties go to the first language in order of name. Without labelled
+The fit takes every labelled row; labels come from any string column. Texts that are null or have no
+letter give `und`, score 0. A letter is a character of category L. Ties go to the first language in order of name. Without labelled
 rows every text gives `und`, and an empty table gives no rows. Repeated rows give a row each. Very long texts
 are read whole. Of the columns to keep, those named like a result column give way to it; others are ignored.
 """
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from traceloom.llm import common
 
 DIM = 512
-FIT_ROWS = 2000
 UNKNOWN = "und"
+BINS = 1000  # of a cosine of 1
 
 _NON_LETTERS = re.compile(r"[\W\d_]+")
 #: By code point: signs of the categories No and Nl, which count as word characters in patterns, but are no letters.
@@ -88,18 +87,11 @@ def vector(text: str | None) -> np.ndarray | None:
     return v / norm if norm else v
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    """Prototypes by label, on the driver: one vector for each of the labels, which are few."""
-    spark = labelled.sparkSession
-    common.ship(spark)
-    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(key, text).alias("h")).where("text is not null and label is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    if not counts:
-        return {}
-    # the least hashes: a share of the hash's range that is expected to hold fit_rows
-    cut = F.lit(False)
-    for name, n in counts.items():
-        cut |= (F.col("label") == name) & (F.col("h").cast("double") < -(2.0**63) + 2.0**64 * min(1.0, fit_rows / n))
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> dict[str, np.ndarray]:
+    """Prototypes by label, on the driver: one vector for each of the labels, which are few. Sums are of whole numbers,
+    so no order of rows changes them."""
+    common.ship(labelled.sparkSession)
+    rows = labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null")
 
     def bundle(batches):
         common.claim("language", _clear)
@@ -111,7 +103,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["label", "v"])
 
-    parts = rows.where(cut).select("text", "label").mapInArrow(bundle, "label string, v array<long>")
+    parts = rows.mapInArrow(bundle, "label string, v array<long>")
     total = parts.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     out = {r["label"]: np.array([x["x"] for x in r["v"]], np.float64) for r in total.collect()}
     unit = {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if np.linalg.norm(v)}
@@ -150,14 +142,24 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return rows.mapInArrow(over, f"{schema}, lang_pred string, score double, cosine double")
 
 
-def least_cosine(labelled: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", label: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> float:
+def least_cosine(told: DataFrame, label: str = "lang") -> float:
     """A bound for the best cosine below which a text is of no learned language: half of the value that all but a
-    hundredth of the labelled rows reach. It is taken on about fit_rows labelled rows, those with the least hash."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key")).where("text is not null and label is not null")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    told = predict(rows.where(F.xxhash64("key", "text").cast("double") < -(2.0**63) + 2.0**64 * share), prototypes, keep=["key"])
-    found = told.where(F.col("lang_pred") != UNKNOWN).agg(F.percentile_approx("cosine", 0.01, 10_000)).first()[0]
-    return found / 2 if found else 0.0
+    hundredth of the labelled rows reach. told: rows of predict() with their label, read twice. All labelled rows are
+    counted, in bins of a thousandth and then by value in one bin; cosines have six digits, so both lists are short."""
+    rows = told.where((F.col("lang_pred") != UNKNOWN) & F.col(label).isNotNull()).select("cosine", F.floor(F.col("cosine") * BINS).alias("bin"))
+    bins = sorted(rows.groupBy("bin").count().collect())
+    rank = -(-sum(n for _, n in bins) // 100)
+    for at, n in bins:
+        if rank <= n:
+            break
+        rank -= n
+    else:
+        return 0.0
+    for value, n in sorted(rows.where(F.col("bin") == at).groupBy("cosine").count().collect()):
+        if rank <= n:
+            return value / 2
+        rank -= n
+    raise ValueError("told gave other rows when it was read again")
 
 
 def held_out() -> F.Column:
