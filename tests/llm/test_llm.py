@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, empty and long texts, ties,
 repeated rows and extra columns."""
 
+import gc
 import hashlib
 import random
 import re
@@ -191,6 +192,27 @@ def test_encoder_gives_the_library_s_ids():
         assert [*np.frombuffer(e.encode(t), "<u4").tolist(), 1] == ids_of(t)
 
 
+def test_encoder_asks_the_model_once_for_a_piece():
+    e = tokens.Encoder(tokens.default_path())
+    asked = []
+
+    class Model:
+        def tokenize(self, piece, of=e.model):
+            asked.append(piece)
+            return of.tokenize(piece)
+
+    next(x for x in gc.get_objects() if isinstance(x, tokens._Pieces) and x.model is e.model).model = Model()
+    r = random.Random(11)
+    many = sorted({"".join(r.choices(string.ascii_lowercase, k=7)) for _ in range(250_000)})
+    first = e.encode(" ".join(many))
+    # more pieces than the cache held before, the same ones between other marks
+    assert len(asked) == len(many) and e.encode("\n".join(many).upper()) == first and len(asked) == len(many)
+    e.encode(", ".join(many))
+    assert asked[len(many) :] == [","]
+    long = "ab1" + "é" * 200 + "!?" * 90
+    assert [*np.frombuffer(e.encode(long), "<u4").tolist(), 1] == ids_of(long)
+
+
 def test_packing_keeps_every_id_once(spark):
     rows = corpus(5)
     got = op5_packing.pack(docs(spark, rows), window=64).collect()

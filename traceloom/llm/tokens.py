@@ -2,9 +2,10 @@
 
 `Encoder` gives for a text exactly the ids of `Tokenizer.encode(text, add_special_tokens=False)`.
 The vocabulary lower-cases, drops white space and never merges across it, so the ids of a text are
-those of its pieces in order. Pieces made of ASCII and Latin letters go straight to the library's BPE
-model, and caches of bounded size keep what recent words and pieces gave; any other word goes
-through the library's whole encoder.
+those of its pieces in order. A text of ASCII and Latin letters is cut into pieces as a whole, and they go
+straight to the library's BPE model; a cache of bounded size keeps what recent pieces gave. In other texts
+each word of such letters is looked up in a cache of words first, and any other word goes through the
+library's whole encoder.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import numpy as np
 from traceloom.llm import common
 
 END_ID = 1
-CACHE = 200_000
+PIECES = 400_000  # in the cache, about 90 MB
+WORDS = 100_000
 
 _SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
@@ -35,14 +37,20 @@ def _byte_alphabet() -> list[str]:
     return out
 
 
+#: By count: packs ids; longer pieces are rare.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class _Pieces(dict):
     def __init__(self, model):
         self.model, self.alphabet = model, _byte_alphabet()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
-        ids = struct.pack(f"<{len(found := self.model.tokenize(word))}I", *[t.id for t in found])
-        if len(self) >= CACHE:
+        word = piece if piece.isascii() else "".join([self.alphabet[b] for b in piece.encode()])
+        found = [t.id for t in self.model.tokenize(word)]
+        n = len(found)
+        ids = _PACK[n](*found) if n < len(_PACK) else struct.pack(f"<{n}I", *found)
+        if len(self) >= PIECES:
             self.clear()
         self[piece] = ids
         return ids
@@ -56,7 +64,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
-        if len(self) >= CACHE:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = ids
         return ids
@@ -69,14 +77,15 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.model._resize_cache(0)  # ours stands before it
-        self.words = _Words(_Pieces(self.model))
+        self.pieces = _Pieces(self.model)
+        self.words = _Words(self.pieces)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids; none for null or empty."""
         if not text:
             return b""
         if _SAFE.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.words.__getitem__, text.lower().split()))
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
         out = []
         for chunk in _CHUNK.findall(text):
             if _SAFE.fullmatch(chunk) and "<|" not in chunk:
