@@ -182,11 +182,13 @@ def richness(pairs: DataFrame, keys: list[str]) -> DataFrame:
         return finished(here, "s.")
     single = here.groupBy(*keys).agg(F.count("*").alias("m"), F.first("s").alias("s")).where(known & (F.col("m") == 1))
     few = F.broadcast(repeated.select(*keys)) if n <= FEW_KEYS else repeated.select(*keys)
-    words = pairs.select(*keys, _counted(F.col("original"), F.col("available")).alias("words")).join(few, keys).select(*keys, F.inline("words"))
+    words = pairs.select(*keys, _counted(F.col("original"), F.col("available")).alias("words")).join(few, keys).select(*keys, F.inline_outer("words")).where("tok is not null")
     counts = words.groupBy(*keys, "tok").agg(F.sum("c").alias("c"), F.bool_or("has").alias("has"))
-    w = -F.log2(F.col("c") / F.col("n"))
-    sums = counts.join(counts.groupBy(*keys).agg(F.sum("c").alias("n")), keys).groupBy(*keys)
-    merged = sums.agg(F.count("*").alias("atoms"), F.count_if("has").alias("kept"), F.sum(w).alias("t"), F.sum(F.when(F.col("has"), w).otherwise(0.0)).alias("k"))
+    # the words' total is known only at the end, so that no sum needs a second exchange of words
+    lost = ~F.col("has")
+    bits = F.log2("c")
+    sums = counts.groupBy(*keys).agg(F.count("*").alias("atoms"), F.count_if("has").alias("kept"), F.log2(F.sum("c")).alias("n"), F.sum(bits).alias("all"), F.sum(F.when(lost, 0.0).otherwise(bits)).alias("held"))
+    merged = sums.select(*keys, "atoms", "kept", F.expr("atoms * n - `all`").alias("t"), F.expr("kept * n - held").alias("k"))
     rows = repeated.join(merged, keys, "left").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     return finished(here.where(~known), "s.").unionByName(finished(single, "s.")).unionByName(finished(rows, ""))
 
